@@ -7,9 +7,45 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import bpe
 from .common import table
 from .line_dedup import line_dedup
 from .mixing import mix_plan
+from .simhash import simhash_components
+from .url_filter import judge, rules_table
+from .warc import archive_round_trip
+
+TOKENIZER = "word_bpe_49k.json"
+
+#: Fixed values of op3: action, host, path.
+URL_RULES = [
+    ("block", "com", "/en/"),
+    ("allow", "example.com", "/en/7"),
+    ("allow", "net", "/de/"),
+    ("block", "example.net", "/de/8"),
+    ("block", "org", "/es/"),
+]
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules_table(spark, URL_RULES))
+    return out.select("page_id", "host", "path", "rule", "verdict")
+
+
+OP3_SQL = r"""
+WITH cut AS (
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+placed AS (
+  SELECT page_id,
+         translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path
+  FROM cut),
+rules(action, h, p) AS (VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')),
+hits AS (
+  SELECT page_id, arg_max(h || p, length(h || p)) AS rule, arg_max(action, length(h || p)) AS action
+  FROM placed JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id)
+SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM placed LEFT JOIN hits USING (page_id)
+"""
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,6 +72,36 @@ FROM marked GROUP BY doc_id
 """
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash_components(table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=3)
+    return out.select(F.col("_cl_id").alias("doc_id"), F.lower(F.lpad(F.hex("_cl_fp"), 16, "0")).alias("fingerprint"), F.col("_cl_component").alias("component_id"))
+
+
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path(TOKENIZER)
+    out = bpe.decode(bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path), path)
+    return out.select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = archive_round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    # a record whose stored bytes don't have the named digest fails the job
+    whole = F.when(F.col("verified"), F.col("digest")).otherwise(F.raise_error(F.concat(F.lit("archive record differs: "), F.col("page_id").cast("string"))))
+    return out.select("page_id", "payload_bytes", whole.alias("payload_digest"), "record_type", "refers_to")
+
+
+OP7_SQL = r"""
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS d FROM pages),
+f AS (SELECT d, min(page_id) AS first_id FROM p WHERE n >= 100 GROUP BY d)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, p.d AS payload_digest,
+       CASE WHEN first_id IS NOT NULL AND first_id <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first_id <> page_id THEN first_id END AS refers_to
+FROM p LEFT JOIN f ON p.d = f.d
+"""
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mix_plan(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return plan.select(
@@ -80,7 +146,11 @@ FROM placed
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_url_filter": op3_url_filter,
     "op4_line_dedup": op4_line_dedup,
+    "op5_simhash": op5_simhash,
+    "op6_bpe": op6_bpe,
+    "op7_warc": op7_warc,
     "op10_mix_sources": op10_mix_sources,
 }
-SQL: dict[str, str] = {"op4_line_dedup": OP4_SQL, "op10_mix_sources": OP10_SQL}
+SQL: dict[str, str] = {"op3_url_filter": OP3_SQL, "op7_warc": OP7_SQL, "op4_line_dedup": OP4_SQL, "op10_mix_sources": OP10_SQL}
