@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe
-from .common import table
+from . import audio_features, bpe, secret_scan, toxicity
+from .chunk_fingerprint import edit_fingerprints
+from .common import spool, table
 from .line_dedup import line_dedup
 from .mixing import mix_plan
 from .simhash import simhash_components
@@ -27,6 +28,16 @@ URL_RULES = [
 ]
 
 
+def op1_chunk_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = edit_fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
+def op2_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = spool(audio_features.to_media(table(spark, sf_dir, "documents").select("doc_id", "text")), "media", compression="zstd")
+    return audio_features.features(stored)
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules_table(spark, URL_RULES))
     return out.select("page_id", "host", "path", "rule", "verdict")
@@ -92,6 +103,23 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "payload_bytes", whole.alias("payload_digest"), "record_type", "refers_to")
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    listed = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    base = F.filter("spans", lambda s: s["kind"] != "crf")
+    number = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    counts = [number(k).alias(f"n_{k}") for k in ("assign", "access", "hex")]
+    return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(*toxicity.training_rows(docs, table(spark, sf_dir, "labels")))
+    held_out = F.crc32(F.col("_cl_id").cast("string").cast("binary")) % 3 == 1
+    predicted = F.when(F.col("score") >= toxicity.THRESHOLD, 1).otherwise(0)
+    return toxicity.score(docs, model).select(F.col("_cl_id").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", predicted.alias("predicted"))
+
+
 OP7_SQL = r"""
 WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS d FROM pages),
 f AS (SELECT d, min(page_id) AS first_id FROM p WHERE n >= 100 GROUP BY d)
@@ -146,11 +174,15 @@ FROM placed
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chunk_fingerprint": op1_chunk_fingerprint,
+    "op2_audio_features": op2_audio_features,
     "op3_url_filter": op3_url_filter,
     "op4_line_dedup": op4_line_dedup,
     "op5_simhash": op5_simhash,
     "op6_bpe": op6_bpe,
     "op7_warc": op7_warc,
+    "op8_secret_scan": op8_secret_scan,
+    "op9_toxicity": op9_toxicity,
     "op10_mix_sources": op10_mix_sources,
 }
 SQL: dict[str, str] = {"op3_url_filter": OP3_SQL, "op7_warc": OP7_SQL, "op4_line_dedup": OP4_SQL, "op10_mix_sources": OP10_SQL}
