@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import shared_dir
@@ -71,16 +71,19 @@ def write_archive(pages: DataFrame, path: str, **columns) -> None:
     empty tables.
     """
     html_col, id_col = columns.get("html_col", "html"), columns.get("id_col", "page_id")
-    plan_records(pages, **columns).write.parquet(f"{path}/records")
+    plan_records(pages, **columns).write.parquet(f"{path}/records", compression="zstd")
     records = pages.sparkSession.read.parquet(f"{path}/records")
-    # which page gives a digest its bytes: the payload itself is shuffled once, as (digest, bytes)
-    givers = records.groupBy("digest").agg(F.min(F.struct("page_id")).alias("s")).select(F.col("digest").alias("giver_digest"), F.col("s.page_id").alias("giver_id"))
+    # which page gives a digest its bytes.  Payloads are shuffled once, dealt by digest and page,
+    # so that a payload which many pages share doesn't land in one task
+    key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
+    givers = records.groupBy("digest").agg(F.min("page_id").alias("giver")).select(F.col("digest").alias("giver_digest"), key("giver").alias("giver_key"))
     payload = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
-    bytes_of = pages.select(F.col(id_col).alias("page_id"), payload.alias("payload"))
-    given = bytes_of.join(givers, bytes_of["page_id"].eqNullSafe(givers["giver_id"]))
-    # a page may give its bytes only under the digest that they have; a repeated row gives them once
-    once = given.where(F.sha2("payload", 256) == F.col("giver_digest")).dropDuplicates(["giver_digest"])
-    once.select(F.col("giver_digest").alias("digest"), F.encode("payload", "UTF-8").alias("payload")).write.parquet(f"{path}/payloads")
+    bytes_of = pages.select(key(id_col).alias("page_key"), payload.alias("payload"), F.sha2(payload, 256).alias("digest"))
+    given = bytes_of.join(givers, (F.col("digest") == F.col("giver_digest")) & (F.col("page_key") == F.col("giver_key")))
+    # a repeated row gives its bytes once
+    nth = F.row_number().over(Window.partitionBy("digest", "page_key").orderBy("digest"))
+    once = given.withColumn("nth", nth).where("nth = 1")
+    once.select("digest", F.encode("payload", "UTF-8").alias("payload")).write.parquet(f"{path}/payloads", compression="zstd")
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
