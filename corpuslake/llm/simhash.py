@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import spool, text_of
 from .graph import components
+from .url_filter import build_filter, in_filter
 
 SEED = 42
 #: Hashes whose bits are counted at a time; bounds the memory for long texts.
@@ -125,7 +126,9 @@ def simhash_components(docs: DataFrame, *, shingle: int = 3, id_col: str = "doc_
 
 
 #: near_dedup: 320 bits; ten segments of 28 bits and a check of the last 32.
-LANES, SEGMENTS, SEGMENT_BITS, CHECK_DISTANCE, MAX_DISTANCE = 5, 10, 28, 11, 52
+LANES, SEGMENTS, SEGMENT_BITS, CHECK_DISTANCE, MAX_DISTANCE = 5, 10, 28, 11, 66
+#: A pair this near has a similarity of over 0.8 all but surely; pairs beyond it are compared shingle by shingle.
+SURE_DISTANCE = 26
 
 
 def _segments(lanes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -188,14 +191,44 @@ def wide_links(nodes: DataFrame) -> DataFrame:
     left = nodes.select(F.col("node").alias("a"), F.array(*mark).alias("fa"))
     right = nodes.select(F.col("node").alias("b"), F.array(*mark).alias("fb"))
     distance = sum((F.bit_count(F.col("fa")[i].bitwiseXOR(F.col("fb")[i])) for i in range(LANES)), F.lit(0))
-    return pairs.join(left, "a").join(right, "b").where(distance <= MAX_DISTANCE).select("a", "b")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", distance.alias("distance")).where(F.col("distance") <= MAX_DISTANCE)
 
 
-def near_dedup(docs: DataFrame, *, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar(pairs: DataFrame, standing: DataFrame, texts: DataFrame, *, shingle: int, least: float) -> DataFrame:
+    """The pairs (a, b) whose sets of shingles have a Jaccard similarity of at least ``least``.
+
+    ``standing`` has for each node the row, a hash of a text, that stands for it; ``texts`` has
+    (row, text).  Only those texts are shuffled: a Bloom filter of fixed size picks them first,
+    and the join removes what it lets through.
+    """
+    bloom = texts.sparkSession.sparkContext.broadcast(build_filter(standing.select(F.col("row").cast("string").alias("key"))))
+
+    @F.pandas_udf("boolean")
+    def maybe(rows):
+        return type(rows)(in_filter(bloom.value, rows.astype(str).tolist()))
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                found = [np.unique(shingle_hashes(t, shingle).astype(np.int64)) for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(found, pa.list_(pa.int64()))], ["node", "own"])
+
+    picked = texts.where(maybe("row")).join(standing, "row")
+    once = picked.withColumn("nth", F.row_number().over(Window.partitionBy("row").orderBy("node"))).where("nth = 1")
+    own = spool(once.select("node", "text").mapInArrow(sets, "node long, own array<long>"), "shingles")
+    left = own.select(F.col("node").alias("a"), F.col("own").alias("sa"))
+    right = own.select(F.col("node").alias("b"), F.col("own").alias("sb"))
+    common = F.size(F.array_intersect("sa", "sb"))
+    share = common / F.greatest(F.size("sa") + F.size("sb") - common, F.lit(1))
+    return pairs.join(left, "a").join(right, "b").where(share >= least).select("a", "b")
+
+
+def near_dedup(docs: DataFrame, *, shingle: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Keep one document, that of the smallest id, of each group of near copies.
 
-    Near: a similarity of about 0.8 or more on shingles of five words, which the distance of
-    320-bit fingerprints measures.  Null and empty texts are copies of each other.  Of rows
+    Near: a Jaccard similarity of ``least`` or more on shingles of five words.  Fingerprints of
+    320 bits find the pairs; those that aren't very near are compared exactly.  Null and empty texts are copies of each other.  Of rows
     that repeat id and text one stays.  A null id stays only where a group has no other id.
     An empty table gives an empty result.  The columns of ``docs`` are returned.
     """
@@ -203,13 +236,24 @@ def near_dedup(docs: DataFrame, *, shingle: int = 5, id_col: str = "doc_id", tex
     marked = fingerprints(docs, shingle=shingle, lanes=LANES, id_col=id_col, text_col=text_col)
     marked = spool(marked.withColumn("_cl_node", F.xxhash64(*names)), "near")
     nodes = spool(marked.groupBy(F.col("_cl_node").alias("node")).agg(*[F.first(n).alias(n[4:]) for n in names]), "near-nodes")
-    roots = components(wide_links(nodes))
+    links = spool(wide_links(nodes), "near-links")
+    sure = links.where(F.col("distance") <= SURE_DISTANCE).select("a", "b")
+    grouped = components(sure)
+    of = lambda name: grouped.select(F.col("node").alias(name), F.col("root").alias(f"root_{name}"))
+    open_links = links.where(F.col("distance") > SURE_DISTANCE).join(of("a"), "a", "left").join(of("b"), "b", "left")
+    open_links = spool(open_links.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b"), "near-open")
+    rows = docs.withColumn("_cl_row", F.xxhash64(text_of(text_col)))
+    texts = docs.select(text_of(text_col).alias("text")).withColumn("row", F.xxhash64("text"))
+    node_of = marked.select(F.col("_cl_row").alias("row"), F.col("_cl_node").alias("node")).distinct()
+    asked = open_links.select(F.col("a").alias("node")).unionByName(open_links.select(F.col("b").alias("node"))).distinct()
+    standing = node_of.join(asked, "node", "left_semi").groupBy("node").agg(F.min("row").alias("row"))
+    checked = similar(open_links, standing, texts, shingle=shingle, least=least)
+    roots = components(sure.unionByName(checked))
     group = F.coalesce(F.col("root"), F.col("_cl_node"))
     members = marked.join(roots, marked["_cl_node"] == roots["node"], "left").select("_cl_id", "_cl_row", group.alias("group"))
     # null ids last
     stays = members.groupBy("group").agg(F.min(F.struct(F.col("_cl_id").isNull(), F.col("_cl_id"), F.col("_cl_row"))).alias("s"))
     stays = stays.select(F.col("s._cl_id").alias("_cl_stay_id"), F.col("s._cl_row").alias("_cl_stay_row"))
-    rows = docs.withColumn("_cl_row", F.xxhash64(text_of(text_col)))
     kept = rows.join(stays, rows[id_col].eqNullSafe(F.col("_cl_stay_id")) & (F.col("_cl_row") == F.col("_cl_stay_row")))
     repeat = F.row_number().over(Window.partitionBy(id_col, "_cl_row").orderBy("_cl_row"))
     return kept.withColumn("_cl_repeat", repeat).where("_cl_repeat = 1").select(*docs.columns)

@@ -47,6 +47,12 @@ def _hashes(keys: list[str]) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(k.encode("utf-8", "surrogatepass")) for k in keys], np.uint64)
 
 
+def in_filter(words: np.ndarray, keys: list[str]) -> np.ndarray:
+    """Which of the keys the filter passes."""
+    blocks, bits = _bits(_hashes(keys))
+    return ((words[blocks] & bits) == bits).all(axis=1)
+
+
 def build_filter(rules: DataFrame) -> np.ndarray:
     """The filter of ``rules``' keys, BLOCKS x 8 words.
 
@@ -110,8 +116,7 @@ def judge(pages: DataFrame, rules: DataFrame, *, default: str = "allow", url_col
                         at += [i] * len(ends)
             if not keys:
                 continue
-            blocks, bits = _bits(_hashes(keys))
-            hits = np.flatnonzero(((words[blocks] & bits) == bits).all(axis=1)).tolist()
+            hits = np.flatnonzero(in_filter(words, keys)).tolist()
             take = pa.array([at[k] for k in hits], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("host").take(take), batch.column("path").take(take), pa.array([keys[k] for k in hits], pa.string())], ["host", "path", "key"])
 
