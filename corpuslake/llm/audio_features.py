@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import small_batches, text_of
 
 RATE, UP, DOWN, TAPS = 8000, 3, 4, 24
 NEW_RATE = RATE * UP // DOWN
@@ -149,6 +149,7 @@ def describe(mel: np.ndarray, spans: list[tuple[int, int]]) -> str:
 
 def to_media(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_bytes, media) of each row: its text as a WAV file.  Null texts are empty."""
+    small_batches(docs)
     base = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

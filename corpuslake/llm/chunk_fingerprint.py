@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import small_batches, text_of
 
 LEAST, USUAL, MOST = 8, 32, 128
 #: High bits of the 16-bit gear hash that must be zero: before the usual size, and after it.
@@ -115,6 +115,7 @@ def from_string(fingerprint: str) -> dict[int, int]:
 
 def fingerprint(docs: DataFrame, *, text_col: str = "text", out_col: str = "fingerprint") -> DataFrame:
     """Add the fingerprint of ``text_col`` to ``docs``.  Null and empty texts have an empty one; ``out_col`` is replaced."""
+    small_batches(docs)
     kept = docs.drop(out_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,6 +140,7 @@ def with_next(docs: DataFrame, work, shape: str, *, id_col: str = "doc_id", text
     also dealt to the range before, as its look-ahead; no window over all rows is needed.
     Ids may be null (first in order) or repeated (then in the order of their texts).
     """
+    small_batches(docs)
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("_cl_id"), text_of(text_col).alias("_cl_text"))
     n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism) * 2

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import crf
-from .common import text_of
+from .common import small_batches, text_of
 
 # fixed values: the base patterns, in the order in which kinds are listed
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -255,6 +255,7 @@ def scan(docs: DataFrame, model: Model | None = None, *, id_col: str = "doc_id",
     and empty texts have no spans.  Rows that repeat an id are scanned each.
     """
     model = model or fit(training_texts(docs, id_col=id_col, text_col=text_col))
+    small_batches(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     base = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
 

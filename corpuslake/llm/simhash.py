@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import spool, text_of
+from .common import small_batches, spool, text_of
 from .graph import components
 from .url_filter import build_filter, in_filter
 
@@ -75,6 +75,7 @@ def fingerprint(text: str, shingle: int = 3, lanes: int = 1) -> list[int]:
 
 def fingerprints(docs: DataFrame, *, shingle: int, lanes: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(_cl_id, _cl_row, _cl_fp0, _cl_fp1, ...) for each row; _cl_row is a hash of the text.  Null text: empty."""
+    small_batches(docs)
     base = docs.select(F.col(id_col).alias("_cl_id"), F.xxhash64(text_of(text_col)).alias("_cl_row"), text_of(text_col).alias("_cl_text"))
     names = [f"_cl_fp{i}" for i in range(lanes)]
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import crf
-from .common import text_of
+from .common import small_batches, text_of
 
 WORD = re.compile(r"[^\W_]+")
 PREFIXES = (4, 5, 6)
@@ -267,6 +267,7 @@ def score(docs: DataFrame, model: Model, *, with_spans: bool = False, id_col: st
     Null and empty texts have no tokens; they get the scorer's bias.  Equal texts get scores
     that agree to nine digits, whatever else is scored with them.
     """
+    small_batches(docs)
     rows = docs.select(F.col(id_col).alias("_cl_id"), F.xxhash64(text_of(text_col)).alias("_cl_row"), text_of(text_col).alias("_cl_text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -287,6 +288,7 @@ def held_out(doc_id: int | None) -> bool:
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without the rows that score ``threshold`` or more; the same columns."""
+    small_batches(docs)
     model = fit(*training_rows(docs, labels))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
