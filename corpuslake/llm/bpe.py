@@ -20,6 +20,7 @@ from __future__ import annotations
 import os
 from bisect import bisect_left
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -27,16 +28,18 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import small_batches, text_of
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-LEAF_CHARS = 16384
+LEAF_CHARS = 32768
 FIRST_WINDOW = 64
 #: Tokens that a window and a side must share in a row.
 AGREE = 4
-#: Parts between blanks that a worker remembers, and the longest such part.
-MEMORY, MEMORY_CHARS = 300_000, 64
+#: Parts between blanks that a worker remembers, twice: those in use and those before.
+MEMORY = 150_000
+#: Blanks that no word and no mark contains.
+BLANKS = (" ", "\n", "\t", "\r")
 
 _coders: dict[int, Coder] = {}
 
@@ -47,33 +50,59 @@ class Coder:
     def __init__(self, spec: bytes):
         from tokenizers import Tokenizer
 
-        self.tok = Tokenizer.from_str(spec.decode("utf-8"))
-        self.tok.no_truncation()
-        self.tok.no_padding()
-        self.drops_space = not self.tok.encode(" \n\t a \n b", add_special_tokens=False).ids != self.tok.encode("a b", add_special_tokens=False).ids and not self.tok.encode(" \n", add_special_tokens=False).ids
+        self.tok = tok = Tokenizer.from_str(spec.decode("utf-8"))
+        tok.no_truncation()
+        tok.no_padding()
+        ids = lambda t: tok.encode(t, add_special_tokens=False).ids
+        self.drops_space = not ids(" \n") and ids(" \n\t a \n b") == ids("a b")
+        self.pieces = [tok.id_to_token(i) for i in range(tok.get_vocab_size(with_added_tokens=True))]
+        self.plain_decode = tok.decoder is None
+        suffix = getattr(tok.model, "end_of_word_suffix", None)
+        self.word_end = np.array([bool(suffix and p and p.endswith(suffix)) for p in self.pieces])
+        # words in letters may be looked up without the marks behind them, and in lower case
+        self.bare_words = bool(suffix) and self.drops_space and ids("Ab.,") == ids("ab") + ids(".,")
         self.known: dict[str, bytes] = {"": b""}
-        size = self.tok.get_vocab_size(with_added_tokens=True)
-        self.pieces = [self.tok.id_to_token(i) for i in range(size)]
-        self.plain_decode = self.tok.decoder is None
+        self.older: dict[str, bytes] = {}
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
         if not self.drops_space:
             return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        known = self.known
         parts = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
         try:
+            known = self.known
             return b"".join([known[p] for p in parts])
         except KeyError:
-            pass
-        new = list({p for p in parts if p not in known})
-        ids = [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(new, add_special_tokens=False)]
-        here = dict(zip(new, ids))
-        out = b"".join([here[p] if p in here else known[p] for p in parts])
-        if len(known) > MEMORY:
-            self.known = known = {"": b""}
-        known.update((p, b) for p, b in here.items() if len(p) <= MEMORY_CHARS)
-        return out
+            self._learn(parts)
+        known = self.known
+        return b"".join([known[p] for p in parts])
+
+    def _learn(self, parts: list[str]) -> None:
+        """Put all ``parts`` into the memory; when that is full, only what is in use stays in it."""
+        if len(self.known) > MEMORY:
+            self.known, self.older = {"": b""}, self.known
+        known, older = self.known, self.older
+        new = {p for p in parts if p not in known}
+        words: dict[str, tuple[str, str]] = {}
+        whole = []
+        for p in new:
+            if p in older:
+                known[p] = older[p]
+            elif self.bare_words and p.isascii() and (word := p.rstrip(".,;:!?")).isalpha():
+                words[p] = (word.lower(), p[len(word) :])
+            else:
+                whole.append(p)
+        whole += {tail for _, tail in words.values() if tail not in known}
+        for p, e in zip(whole, self.tok.encode_batch(whole, add_special_tokens=False) if whole else []):
+            known[p] = np.array(e.ids, "<u4").tobytes()
+        fresh = [w for w in {w for w, _ in words.values()} if w not in known]
+        if fresh:
+            # one text of words: each ends with a token that ends a word
+            ids = np.array(self.tok.encode(" ".join(fresh), add_special_tokens=False).ids, "<u4")
+            for w, part in zip(fresh, np.split(ids, np.flatnonzero(self.word_end[ids])[:-1] + 1)):
+                known[w] = part.tobytes()
+        for p, (word, tail) in words.items():
+            known[p] = known[word] + known[tail]
 
     def placed(self, text: str, at: int = 0) -> np.ndarray:
         """Rows (id, start, end) of the tokens; places count from ``at``."""
@@ -101,6 +130,13 @@ def coder(spec: Broadcast | bytes) -> Coder:
     return _coders[key]
 
 
+class Side(NamedTuple):
+    """Tokens of a stretch of text: their ids, and if needed rows (id, start, end)."""
+
+    ids: np.ndarray
+    places: np.ndarray | None
+
+
 def leaves(start: int, end: int, leaf_chars: int) -> list[tuple[int, int]]:
     """The spans that halving leads to."""
     if end - start <= leaf_chars:
@@ -124,29 +160,55 @@ def _shared_run(a: np.ndarray, b: np.ndarray, last: bool) -> tuple[int, int] | N
     return None
 
 
-def join(c: Coder, text: str, left: np.ndarray, right: np.ndarray, start: int, middle: int, end: int) -> np.ndarray:
+def _tail(c: Coder, text: str, side: Side, start: int, lo: int, middle: int) -> np.ndarray | None:
+    """The placed tokens of text[start:middle] from ``lo`` on."""
+    if side.places is not None:
+        return side.places[np.searchsorted(side.places[:, 1], lo) :]
+    # parts between blanks are encoded independently: from a blank on, the tail's tokens are those of the tail
+    cut = lo if lo == start else min((i for i in (text.find(x, lo, middle) for x in BLANKS) if i >= 0), default=-1)
+    return None if cut < 0 else c.placed(text[cut:middle], cut)
+
+
+def _head(c: Coder, text: str, side: Side, middle: int, hi: int, end: int) -> np.ndarray | None:
+    """The placed tokens of text[middle:end] that begin before ``hi``."""
+    if side.places is not None:
+        return side.places[: np.searchsorted(side.places[:, 1], hi)]
+    cut = hi if hi == end else max(text.rfind(x, middle, hi) for x in BLANKS)
+    return None if cut < 0 else c.placed(text[middle:cut], middle)
+
+
+def join(c: Coder, text: str, left: Side, right: Side, start: int, middle: int, end: int) -> Side:
     """The tokens of text[start:end] from those of text[start:middle] and text[middle:end]."""
     reach = FIRST_WINDOW
     while True:
         lo, hi = max(start, middle - reach), min(end, middle + reach)
         window = c.placed(text[lo:hi], lo)
-        near_left = left[np.searchsorted(left[:, 1], lo) :]
-        skipped = len(left) - len(near_left)
-        near_right = right[: np.searchsorted(right[:, 1], hi)]
-        cut_left = (0, 0) if lo == start else _shared_run(near_left, window, last=False)
-        cut_right = (len(near_right), len(window)) if hi == end else _shared_run(near_right, window, last=True)
+        tail, head = _tail(c, text, left, start, lo, middle), _head(c, text, right, middle, hi, end)
+        cut_left = (0, 0) if lo == start else tail is not None and _shared_run(tail, window, last=False)
+        cut_right = (0, len(window)) if hi == end else head is not None and _shared_run(head, window, last=True)
         if cut_left and cut_right and cut_left[1] <= cut_right[1]:
-            kept_left = 0 if lo == start else skipped + cut_left[0]
-            kept_right = len(right) if hi == end else cut_right[0]
-            return np.concatenate([left[:kept_left], window[cut_left[1] : cut_right[1]], right[kept_right:]])
+            kept_left = 0 if lo == start else len(left.ids) - len(tail) + cut_left[0]
+            kept_right = len(right.ids) if hi == end else cut_right[0]
+            between = window[cut_left[1] : cut_right[1]]
+            ids = np.concatenate([left.ids[:kept_left], between[:, 0].astype("<u4"), right.ids[kept_right:]])
+            places = None if left.places is None else np.concatenate([left.places[:kept_left], between, right.places[kept_right:]])
+            return Side(ids, places)
         reach *= 2
 
 
-def meet(c: Coder, text: str, parts: list[np.ndarray], leaf_chars: int) -> np.ndarray:
+def encode_leaf(c: Coder, text: str, start: int) -> Side:
+    """A leaf's tokens; their places only where blanks can't tell them later."""
+    if c.drops_space:
+        return Side(np.frombuffer(c.encode(text), "<u4"), None)
+    placed = c.placed(text, start)
+    return Side(placed[:, 0].astype("<u4"), placed)
+
+
+def meet(c: Coder, text: str, parts: list[Side], leaf_chars: int) -> Side:
     """Join the leaves' tokens up the tree of halves."""
     rest = iter(parts)
 
-    def node(start: int, end: int) -> np.ndarray:
+    def node(start: int, end: int) -> Side:
         if end - start <= leaf_chars:
             return next(rest)
         middle = (start + end) // 2
@@ -158,8 +220,8 @@ def meet(c: Coder, text: str, parts: list[np.ndarray], leaf_chars: int) -> np.nd
 
 def encode_tree(c: Coder, text: str, leaf_chars: int = LEAF_CHARS) -> bytes:
     """The ids of a text by tree concatenation, in one process."""
-    parts = [c.placed(text[i:j], i) for i, j in leaves(0, len(text), leaf_chars)]
-    return meet(c, text, parts, leaf_chars)[:, 0].astype("<u4").tobytes()
+    parts = [encode_leaf(c, text[i:j], i) for i, j in leaves(0, len(text), leaf_chars)]
+    return meet(c, text, parts, leaf_chars).ids.tobytes()
 
 
 def _spec(docs: DataFrame, path: str) -> Broadcast:
@@ -167,22 +229,28 @@ def _spec(docs: DataFrame, path: str) -> Broadcast:
         return docs.sparkSession.sparkContext.broadcast(f.read())
 
 
-def encode(docs: DataFrame, path: str, *, leaf_chars: int = LEAF_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, path: str, *, leaf_chars: int = LEAF_CHARS, with_decoded: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_tokens, token_ids) of each row; token_ids are little-endian unsigned 32-bit integers.
 
+    ``with_decoded`` adds ``decoded``, what the ids decode to, as ``decode`` does in a pass of its own.
+
     ``path`` is a file of the tokenizers library.  Null and empty texts have no tokens.  Rows
     that repeat id and text come back as often as they came.  An empty table gives an empty
     result; other columns aren't carried.
     """
+    small_batches(docs)
     spec = _spec(docs, path)
     rows = docs.select(F.col(id_col).alias("_cl_id"), text_of(text_col).alias("_cl_text"))
     kind = rows.schema["_cl_id"].dataType.simpleString()
+    names = ["_cl_id", "n", "ids"] + ["decoded"] * with_decoded
 
     def at_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(spec)
         for batch in batches:
             ids = [c.encode(t) for t in batch.column("_cl_text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("_cl_id"), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary())], ["_cl_id", "n", "ids"])
+            decoded = [[c.decode(i) for i in ids]] if with_decoded else []
+            columns = [batch.column("_cl_id"), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary()), *[pa.array(d, pa.string()) for d in decoded]]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     def halve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -195,29 +263,33 @@ def encode(docs: DataFrame, path: str, *, leaf_chars: int = LEAF_CHARS, id_col:
     def encode_leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(spec)
         for batch in batches:
-            tokens = [c.placed(t, s).astype("<i4").tobytes() for s, t in zip(batch.column("start").to_pylist(), batch.column("text").to_pylist())]
-            yield batch.append_column("tokens", pa.array(tokens, pa.binary()))
+            sides = [encode_leaf(c, t, s) for s, t in zip(batch.column("start").to_pylist(), batch.column("text").to_pylist())]
+            places = [None if s.places is None else s.places.astype("<i8").tobytes() for s in sides]
+            yield batch.append_column("ids", pa.array([s.ids.tobytes() for s in sides], pa.binary())).append_column("places", pa.array(places, pa.binary()))
 
     def meet_leaves(table: pa.Table) -> pa.Table:
         table = table.sort_by("start")
-        starts, texts, tokens = (table.column(x).to_pylist() for x in ("start", "text", "tokens"))
+        starts, texts, ids, places = (table.column(x).to_pylist() for x in ("start", "text", "ids", "places"))
         copies = starts.count(0)  # rows that repeat id and text
         text = "".join(texts[::copies])
-        parts = [np.frombuffer(t, "<i4").reshape(-1, 3).astype(np.int64) for t in tokens[::copies]]
-        ids = meet(coder(spec), text, parts, leaf_chars)[:, 0].astype("<u4").tobytes()
-        return pa.table({"_cl_id": table.column("_cl_id").slice(0, copies), "n": pa.array([len(ids) // 4] * copies, pa.int64()), "ids": pa.array([ids] * copies, pa.binary())})
+        parts = [Side(np.frombuffer(i, "<u4"), None if p is None else np.frombuffer(p, "<i8").reshape(-1, 3)) for i, p in zip(ids[::copies], places[::copies])]
+        c = coder(spec)
+        out = meet(c, text, parts, leaf_chars).ids.tobytes()
+        columns = [table.column("_cl_id").slice(0, copies), pa.array([len(out) // 4] * copies, pa.int64()), pa.array([out] * copies, pa.binary())]
+        return pa.table([*columns, *([pa.array([c.decode(out)] * copies, pa.string())] if with_decoded else [])], names=names)
 
-    shape = f"_cl_id {kind}, n long, ids binary"
+    shape = f"_cl_id {kind}, n long, ids binary" + ", decoded string" * with_decoded
     short = rows.where(F.length("_cl_text") <= leaf_chars).mapInArrow(at_once, shape)
     long = rows.where(F.length("_cl_text") > leaf_chars).withColumn("_cl_row", F.xxhash64("_cl_text"))
     pieces = long.mapInArrow(halve, f"_cl_id {kind}, _cl_row long, start long, text string").repartition("_cl_row", "start")
-    coded = pieces.mapInArrow(encode_leaves, f"_cl_id {kind}, _cl_row long, start long, text string, tokens binary")
+    coded = pieces.mapInArrow(encode_leaves, f"_cl_id {kind}, _cl_row long, start long, text string, ids binary, places binary")
     met = coded.groupBy("_cl_id", "_cl_row").applyInArrow(meet_leaves, shape)
-    return short.unionByName(met).select(F.col("_cl_id").alias(id_col), F.col("n").alias("n_tokens"), F.col("ids").alias("token_ids"))
+    return short.unionByName(met).select(F.col("_cl_id").alias(id_col), F.col("n").alias("n_tokens"), F.col("ids").alias("token_ids"), *["decoded"] * with_decoded)
 
 
 def decode(tokens: DataFrame, path: str, *, ids_col: str = "token_ids", out_col: str = "decoded") -> DataFrame:
     """Add ``out_col``, the text that the library decodes from the ids.  Null ids: empty."""
+    small_batches(tokens)
     spec = _spec(tokens, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
