@@ -45,3 +45,12 @@ class Settings:
         """Characters of paper text that a model's window leaves room for."""
         usable = (context_tokens or self.fallback_context_tokens) - self.reserved_tokens
         return max(usable, self.min_budget_tokens) * self.chars_per_token
+
+
+def steady_unions(spark) -> None:
+    """Have unions forget how their inputs are dealt out.
+
+    Spark 4.1 plans a union by its inputs' common partitioning; when adaptive execution then
+    changes the partitions of one of them, the job fails ("Can't zip RDDs").
+    """
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
