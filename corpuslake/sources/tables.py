@@ -76,27 +76,42 @@ def evict(spark: SparkSession, folder: str, partition: str | None = None) -> boo
     return bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
 
 
+#: Queries of one stated set, and how many of them meet the papers in one scan.
+MAX_QUERIES, QUERY_BLOCK = 10_000, 100
+
+
+def stated(queries: DataFrame) -> list:
+    """The rows of a stated query set, which is small; a larger one is refused, not cut."""
+    rows = queries.limit(MAX_QUERIES + 1).collect()
+    if len(rows) > MAX_QUERIES:
+        raise ValueError(f"more than {MAX_QUERIES} queries at a time")
+    return rows
+
+
 def search_catalogue(papers: DataFrame, queries: DataFrame, max_results: int = 20) -> DataFrame:
     """(query_id, paper_id, score, rank): the papers that contain all phrases of a boolean query.
 
-    ``queries`` has query_id and terms (array).  A stated query set: papers are met with the
-    terms of all queries in one scan.  More frequent phrases rank higher, then smaller ids.
+    ``queries`` has query_id and terms (array), a stated query set (see ``stated``).  Papers
+    meet QUERY_BLOCK queries in one scan.  More frequent phrases rank higher, then smaller ids.
     """
     from pyspark.sql import Window
 
-    asked = [(r["query_id"], list(r["terms"])) for r in queries.select("query_id", "terms").limit(10_000).collect()]
+    asked = [(r["query_id"], list(r["terms"])) for r in stated(queries.select("query_id", "terms"))]
     text = F.lower(F.concat_ws(" ", "title", "abstract"))
-    count = lambda t: ((F.length("text") - F.length(F.replace(F.col("text"), F.lit(t), F.lit("")))) / max(len(t), 1)).cast("long")
     base = papers.select("paper_id", text.alias("text"))
-    parts = []
-    for name, terms in asked:
-        hit = F.lit(bool(terms))
-        for t in terms:
-            hit = hit & F.contains(F.col("text"), F.lit(t))
-        total = sum((count(t) for t in terms if t), F.lit(0).cast("long"))
-        parts.append(F.when(hit, F.struct(F.lit(name).alias("query_id"), total.alias("score"))))
-    if not parts:
-        return base.select(F.lit(0).alias("query_id"), "paper_id", F.lit(0).cast("long").alias("score"), F.lit(1).alias("rank")).where("false")
-    hits = base.select("paper_id", F.explode(F.array_compact(F.array(*parts))).alias("h")).select("h.query_id", "paper_id", "h.score")
+    count = lambda t: ((F.length("text") - F.length(F.replace(F.col("text"), F.lit(t), F.lit("")))) / max(len(t), 1)).cast("long")
+    hits = None
+    for at in range(0, len(asked), QUERY_BLOCK):
+        parts = []
+        for name, terms in asked[at : at + QUERY_BLOCK]:
+            hit = F.lit(bool(terms))
+            for t in terms:
+                hit = hit & F.contains(F.col("text"), F.lit(t))
+            total = sum((count(t) for t in terms if t), F.lit(0).cast("long"))
+            parts.append(F.when(hit, F.struct(F.lit(name).alias("query_id"), total.alias("score"))))
+        found = base.select("paper_id", F.explode(F.array_compact(F.array(*parts))).alias("h")).select("h.query_id", "paper_id", "h.score")
+        hits = found if hits is None else hits.unionByName(found)
+    if hits is None:
+        return queries.select("query_id", F.lit(None).cast(papers.schema["paper_id"].dataType).alias("paper_id"), F.lit(0).cast("long").alias("score"), F.lit(1).alias("rank")).where("false")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "paper_id"))
     return hits.withColumn("rank", rank).where(F.col("rank") <= max_results)
