@@ -131,17 +131,22 @@ def find_marks(sentences: list[tuple[list[list[str]], int]]) -> tuple[set[str],
     lie in toxic documents against the odds (likelihood ratio statistic) and eight times as
     densely as in the others.
     """
-    seen: list[set[int]] = [set(), set()]
-    counts: list[Counter] = [Counter(), Counter()]
+    number: dict[str, int] = {"": 0}
+    found: tuple[list, list] = ([], [])
     for parts, y in sentences:
         for words in parts:
-            padded = ["", *words, ""]
-            for context in zip(padded, words, padded[2:]):
-                h = hash(context)
-                if h not in seen[y]:
-                    seen[y].add(h)
-                    counts[y][context[1]] += 1
-    total = [len(s) for s in seen]
+            if words:
+                n = np.array([0, *[number.setdefault(w, len(number)) for w in words], 0], np.int64)
+                found[y].append(np.stack([n[1:-1], n[:-2], n[2:]], axis=1))
+    names = list(number)
+    total, counts = [0, 0], [Counter(), Counter()]
+    for y in (0, 1):
+        own = np.unique(np.concatenate(found[y]), axis=0)[:, 0] if found[y] else np.zeros(0, np.int64)
+        total[y] = len(own)
+        for w, n in zip(*(x.tolist() for x in np.unique(own, return_counts=True))):
+            counts[y][names[w]] = n
+    if not all(total):
+        return set(), set()
     keys: list[Counter] = [Counter(), Counter()]
     for y in (0, 1):
         for w, n in counts[y].items():
@@ -167,7 +172,8 @@ def fit(texts: list[str], toxic: list[int], *, max_pieces: int = 5000) -> Model:
     constant = Model({"": REST}, np.zeros((3, 2)), np.zeros((2, 2)), np.zeros(2), np.array([np.log((share + 1e-3) / (1 - share + 1e-3)), 0.0, 0.0]))
     if len(set(toxic)) < 2:
         return constant
-    sentences = [([WORD.findall(s) for s in t.lower().split("\n")], y) for t, y in zip(texts, toxic)]
+    one: dict[str, str] = {}  # each distinct word is kept once
+    sentences = [([[one.setdefault(w, w) for w in WORD.findall(s)] for s in t.lower().split("\n")], y) for t, y in zip(texts, toxic)]
     marks, frequent = find_marks(sentences)
     features = {"": REST} | {k: i + 1 for i, k in enumerate(sorted(marks | frequent))}
     pieces: tuple[list, list] = ([], [])
