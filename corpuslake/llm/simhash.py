@@ -132,24 +132,24 @@ LANES, SEGMENTS, SEGMENT_BITS, CHECK_DISTANCE, MAX_DISTANCE = 5, 10, 28, 11, 66
 SURE_DISTANCE = 26
 
 
-def _segments(lanes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """From n x LANES numbers: n x SEGMENTS keys, and the check bits that no segment uses."""
+def _segments(lanes: np.ndarray) -> np.ndarray:
+    """From n x LANES numbers: n x SEGMENTS keys."""
     bits = np.unpackbits(np.ascontiguousarray(lanes.astype(">i8")).view(np.uint8).reshape(len(lanes), 8 * LANES), axis=1)
     own = bits[:, : SEGMENTS * SEGMENT_BITS].reshape(len(lanes), SEGMENTS, SEGMENT_BITS).astype(np.int64)
-    keys = own @ (1 << np.arange(SEGMENT_BITS, dtype=np.int64)[::-1])
-    check = bits[:, -32:].astype(np.int64) @ (1 << np.arange(32, dtype=np.int64))
-    return keys, check.astype(np.uint32)
+    return own @ (1 << np.arange(SEGMENT_BITS, dtype=np.int64)[::-1])
 
 
 def _table_rows(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """Ball entries (key, check, node) of a batch, and links (node, leader) found within it.
+    """Ball entries (key, node) of a batch, and links (node, leader) found within it.
+
+    A node's upper half is the check: the bits of its fingerprint that no segment uses.
 
     Both sides of a match enumerate radius one, so halves that differ in up to two bits meet.
     A member that agrees with the batch's leader of a bucket is linked and not sent on.
     """
     node = batch.column("node").to_numpy()
     lanes = np.column_stack([batch.column(f"fp{i}").to_numpy() for i in range(LANES)])
-    keys, check = _segments(lanes)
+    keys, check = _segments(lanes), (node >> 32).astype(np.uint32)
     balls = np.concatenate([np.zeros(1, np.int64), 1 << np.arange(SEGMENT_BITS, dtype=np.int64)])
     flat = (keys[:, :, None] ^ balls) + (np.arange(SEGMENTS, dtype=np.int64) << SEGMENT_BITS)[None, :, None]
     flat = flat.reshape(-1)
@@ -165,11 +165,10 @@ def _table_rows(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [
             pa.array(np.concatenate([flat[~agrees], -1 - np.arange(m, dtype=np.int64)])),
-            pa.array(np.concatenate([check[who[~agrees]].view(np.int32), np.zeros(m, np.int32)])),
             pa.array(np.concatenate([node[who[~agrees]], node[pairs[:, 0]]])),
             pa.array(np.concatenate([np.zeros(n, np.int64), node[pairs[:, 1]]]), mask=np.arange(n + m) < n),
         ],
-        ["key", "check", "node", "other"],
+        ["key", "node", "other"],
     )
 
 
@@ -181,11 +180,11 @@ def wide_links(nodes: DataFrame) -> DataFrame:
             for i in range(0, batch.num_rows, 4096):
                 yield _table_rows(batch.slice(i, 4096))
 
-    rows = nodes.mapInArrow(run, "key long, check int, node long, other long")
+    rows = nodes.mapInArrow(run, "key long, node long, other long")
     bucket = Window.partitionBy("key").orderBy("node")
-    met = rows.select("key", "check", "node", "other", F.first(F.struct("node", "check")).over(bucket).alias("first"), F.lag(F.struct("node", "check")).over(bucket).alias("before"))
-    close = lambda c: F.bit_count(F.col("check").bitwiseXOR(F.col(f"{c}.check")).cast("long").bitwiseAND(F.lit(0xFFFFFFFF))) <= CHECK_DISTANCE
-    pick = lambda c: F.when((F.col(f"{c}.node") != F.col("node")) & close(c), F.col(f"{c}.node"))
+    met = rows.select("key", "node", "other", F.first("node").over(bucket).alias("first"), F.lag("node").over(bucket).alias("before"))
+    close = lambda c: F.bit_count(F.shiftrightunsigned(F.col("node").bitwiseXOR(F.col(c)), 32)) <= CHECK_DISTANCE
+    pick = lambda c: F.when((F.col(c) != F.col("node")) & close(c), F.col(c))
     others = F.when(F.col("key") < 0, F.array("other")).otherwise(F.array_distinct(F.array(pick("first"), pick("before"))))
     pairs = met.select(F.col("node").alias("a"), F.explode(others).alias("b")).where(F.col("b").isNotNull()).distinct()
     mark = [F.col(f"fp{i}") for i in range(LANES)]
@@ -235,7 +234,8 @@ def near_dedup(docs: DataFrame, *, shingle: int = 5, least: float = 0.8, id_col:
     """
     names = [f"_cl_fp{i}" for i in range(LANES)]
     marked = fingerprints(docs, shingle=shingle, lanes=LANES, id_col=id_col, text_col=text_col)
-    marked = spool(marked.withColumn("_cl_node", F.xxhash64(*names)), "near")
+    node = F.shiftleft(names[-1], 32).bitwiseOR(F.xxhash64(*names).bitwiseAND(F.lit(0xFFFFFFFF)))
+    marked = spool(marked.withColumn("_cl_node", node), "near")
     nodes = spool(marked.groupBy(F.col("_cl_node").alias("node")).agg(*[F.first(n).alias(n[4:]) for n in names]), "near-nodes")
     links = spool(wide_links(nodes), "near-links")
     sure = links.where(F.col("distance") <= SURE_DISTANCE).select("a", "b")
