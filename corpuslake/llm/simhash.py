@@ -9,20 +9,21 @@ pair of distinct fingerprints that differ in at most three bits.  Only distinct
 fingerprints enter, so copies cost nothing, and a fingerprint has a bounded number of
 neighbours (the ball of radius three), however many documents there are.
 
-``near_dedup`` takes wider fingerprints, since a similarity of 0.8 on shingles leaves about
-15 % of the bits different.  There, members of one table bucket link to leaders instead of
-to each other; leaders are chosen in each task before the shuffle, so a group of copies
-that holds a third of all rows sends a few rows a task, not all of them.
+``near_dedup`` takes no fingerprints, since a similarity of 0.8 on shingles leaves about 15 %
+of their bits different, which no bounded index finds for sure.  It joins prefixes of the
+ordered sets of shingles, which misses no pair.  Nodes first link to leaders of a shingle;
+after that all pairs of different groups that share one are compared.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import small_batches, spool, text_of
@@ -126,72 +127,65 @@ def simhash_components(docs: DataFrame, *, shingle: int = 3, id_col: str = "doc_
     return marked.join(by_mark, marked["_cl_fp"] == by_mark["fp"]).select("_cl_id", "_cl_fp", "_cl_component")
 
 
-#: near_dedup: 320 bits; ten segments of 28 bits and a check of the last 32.
-LANES, SEGMENTS, SEGMENT_BITS, CHECK_DISTANCE, MAX_DISTANCE = 5, 10, 28, 11, 66
-#: A pair this near has a similarity of over 0.8 all but surely; pairs beyond it are compared shingle by shingle.
-SURE_DISTANCE = 26
+#: A shingle in the prefixes of more groups than this goes last in the order, up to so many shingles and rounds.
+CROWD, MAX_LATE, ROUNDS = 32, 100_000, 2
 
 
-def _segments(lanes: np.ndarray) -> np.ndarray:
-    """From n x LANES numbers: n x SEGMENTS keys."""
-    bits = np.unpackbits(np.ascontiguousarray(lanes.astype(">i8")).view(np.uint8).reshape(len(lanes), 8 * LANES), axis=1)
-    own = bits[:, : SEGMENTS * SEGMENT_BITS].reshape(len(lanes), SEGMENTS, SEGMENT_BITS).astype(np.int64)
-    return own @ (1 << np.arange(SEGMENT_BITS, dtype=np.int64)[::-1])
+def prefixes(docs: DataFrame, late: np.ndarray, *, shingle: int, least: float, id_col: str, text_col: str) -> DataFrame:
+    """(_cl_id, _cl_row, node, size, prefix) for each row; node is a hash of its set of shingles, size their number.
 
+    Shingles are ordered by hash, those in ``late`` (sorted) after all others.  The prefix is so
+    long that two sets with a Jaccard similarity of ``least`` share a shingle of their prefixes.
+    """
+    small_batches(docs)
+    base = docs.select(F.col(id_col).alias("_cl_id"), F.xxhash64(text_of(text_col)).alias("_cl_row"), text_of(text_col).alias("_cl_text"))
+    shared = docs.sparkSession.sparkContext.broadcast(late)
+
+    def one(text: str) -> tuple[int, int, np.ndarray]:
+        own = np.unique(shingle_hashes(text, shingle).astype(np.uint64).view(np.int64))
+        n = len(own)
+        node = int(np.uint64(xxhash.xxh64_intdigest(own.tobytes(), SEED)).view(np.int64))
+        if len(shared.value) and n:
+            at = np.minimum(np.searchsorted(shared.value, own), len(shared.value) - 1)
+            own = own[np.argsort(shared.value[at] == own, kind="stable")]
+        return node, n, own[: n - math.ceil(least * n - 1e-9) + 1]
 
-def _table_rows(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """Ball entries (key, node) of a batch, and links (node, leader) found within it.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [one(t) for t in batch.column("_cl_text").to_pylist()]
+            columns = [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column("_cl_id"), batch.column("_cl_row"), *columns], ["_cl_id", "_cl_row", "node", "size", "prefix"])
+
+    kind = base.schema["_cl_id"].dataType.simpleString()
+    return base.mapInArrow(run, f"_cl_id {kind}, _cl_row long, node long, size long, prefix array<long>")
 
-    A node's upper half is the check: the bits of its fingerprint that no segment uses.
 
-    Both sides of a match enumerate radius one, so halves that differ in up to two bits meet.
-    A member that agrees with the batch's leader of a bucket is linked and not sent on.
+def _may_reach(common: str, na: str, nb: str, least: float) -> Column:
+    """Whether sets of sizes ``na`` and ``nb`` whose prefixes share ``common`` shingles can be as similar as ``least``.
+
+    Of the two prefixes one ends first; beyond its end the sets share at most what its set has left.
     """
-    node = batch.column("node").to_numpy()
-    lanes = np.column_stack([batch.column(f"fp{i}").to_numpy() for i in range(LANES)])
-    keys, check = _segments(lanes), (node >> 32).astype(np.uint32)
-    balls = np.concatenate([np.zeros(1, np.int64), 1 << np.arange(SEGMENT_BITS, dtype=np.int64)])
-    flat = (keys[:, :, None] ^ balls) + (np.arange(SEGMENTS, dtype=np.int64) << SEGMENT_BITS)[None, :, None]
-    flat = flat.reshape(-1)
-    who = np.repeat(np.arange(len(node)), SEGMENTS * len(balls))
-    order = np.argsort(flat, kind="stable")
-    flat, who = flat[order], who[order]
-    start = np.concatenate([[True], flat[1:] != flat[:-1]]) if len(flat) else np.zeros(0, bool)
-    leader = who[np.maximum.accumulate(np.where(start, np.arange(len(flat)), 0))] if len(flat) else who
-    agrees = ~start & (np.bitwise_count(check[who] ^ check[leader]) <= CHECK_DISTANCE)
-    pairs = np.unique(np.column_stack([who[agrees], leader[agrees]]), axis=0)
-    n, m = int((~agrees).sum()), len(pairs)
-    # a link has a key of its own, below zero, and passes the bucket step untouched
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(np.concatenate([flat[~agrees], -1 - np.arange(m, dtype=np.int64)])),
-            pa.array(np.concatenate([node[who[~agrees]], node[pairs[:, 0]]])),
-            pa.array(np.concatenate([np.zeros(n, np.int64), node[pairs[:, 1]]]), mask=np.arange(n + m) < n),
-        ],
-        ["key", "node", "other"],
-    )
-
-
-def wide_links(nodes: DataFrame) -> DataFrame:
-    """(a, b) of nodes (node, fp0 ...) that share a bucket with their leader, or their forerunner, and are near."""
+    left = lambda n: F.ceil(F.col(n) * least - 1e-9) - 1
+    return F.col(common) + F.greatest(left(na), left(nb)) >= (F.col(na) + F.col(nb)) * (least / (1 + least)) - 1e-6
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, 4096):
-                yield _table_rows(batch.slice(i, 4096))
-
-    rows = nodes.mapInArrow(run, "key long, node long, other long")
-    bucket = Window.partitionBy("key").orderBy("node")
-    met = rows.select("key", "node", "other", F.first("node").over(bucket).alias("first"), F.lag("node").over(bucket).alias("before"))
-    close = lambda c: F.bit_count(F.shiftrightunsigned(F.col("node").bitwiseXOR(F.col(c)), 32)) <= CHECK_DISTANCE
-    pick = lambda c: F.when((F.col(c) != F.col("node")) & close(c), F.col(c))
-    others = F.when(F.col("key") < 0, F.array("other")).otherwise(F.array_distinct(F.array(pick("first"), pick("before"))))
-    pairs = met.select(F.col("node").alias("a"), F.explode(others).alias("b")).where(F.col("b").isNotNull()).distinct()
-    mark = [F.col(f"fp{i}") for i in range(LANES)]
-    left = nodes.select(F.col("node").alias("a"), F.array(*mark).alias("fa"))
-    right = nodes.select(F.col("node").alias("b"), F.array(*mark).alias("fb"))
-    distance = sum((F.bit_count(F.col("fa")[i].bitwiseXOR(F.col("fb")[i])) for i in range(LANES)), F.lit(0))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", distance.alias("distance")).where(F.col("distance") <= MAX_DISTANCE)
+
+def leader_pairs(tokens: DataFrame, least: float) -> DataFrame:
+    """(a, b): nodes with the least and the greatest node that shares a prefix shingle, where they may be similar."""
+    one = F.struct("node", "size")
+    ends = tokens.groupBy("token").agg(F.min(one).alias("lo"), F.max(one).alias("hi")).where("lo.node <> hi.node")
+    met = tokens.join(ends, "token").select("node", "size", F.explode(F.array("lo", "hi")).alias("o")).where("node <> o.node")
+    pairs = met.select(F.col("node").alias("a"), F.col("size").alias("na"), F.col("o.node").alias("b"), F.col("o.size").alias("nb"))
+    return pairs.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("common")).where(_may_reach("common", "na", "nb", least)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def crossing_pairs(placed: DataFrame, least: float) -> DataFrame:
+    """(a, b): all pairs of nodes of different groups that may be similar, from (token, node, size, root)."""
+    mixed = placed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
+    rows = spool(placed.join(mixed, "token"), "near-mixed")
+    left = rows.select("token", F.col("node").alias("a"), F.col("size").alias("na"), F.col("root").alias("ra"))
+    right = rows.select("token", F.col("node").alias("b"), F.col("size").alias("nb"), F.col("root").alias("rb"))
+    met = left.join(right, "token").where((F.col("ra") < F.col("rb")) & (F.least("na", "nb") >= F.greatest("na", "nb") * least - 1e-6))
+    return met.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("common")).where(_may_reach("common", "na", "nb", least)).select("a", "b")
 
 
 def similar(pairs: DataFrame, standing: DataFrame, texts: DataFrame, *, shingle: int, least: float) -> DataFrame:
@@ -227,31 +221,46 @@ def similar(pairs: DataFrame, standing: DataFrame, texts: DataFrame, *, shingle:
 def near_dedup(docs: DataFrame, *, shingle: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Keep one document, that of the smallest id, of each group of near copies.
 
-    Near: a Jaccard similarity of ``least`` or more on shingles of five words.  Fingerprints of
-    320 bits find the pairs; those that aren't very near are compared exactly.  Null and empty texts are copies of each other.  Of rows
-    that repeat id and text one stays.  A null id stays only where a group has no other id.
-    An empty table gives an empty result.  The columns of ``docs`` are returned.
+    Near: a Jaccard similarity of ``least`` or more on the sets of shingles; a group is what such
+    pairs connect.  Exact: rows of one set are one node, and every other link is compared
+    shingle by shingle.  Null and empty texts are copies of each other.  Of rows that repeat id
+    and text one stays.  A null id stays only where a group has no other id.  An empty table
+    gives an empty result.  The columns of ``docs`` are returned.
     """
-    names = [f"_cl_fp{i}" for i in range(LANES)]
-    marked = fingerprints(docs, shingle=shingle, lanes=LANES, id_col=id_col, text_col=text_col)
-    node = F.shiftleft(names[-1], 32).bitwiseOR(F.xxhash64(*names).bitwiseAND(F.lit(0xFFFFFFFF)))
-    marked = spool(marked.withColumn("_cl_node", node), "near")
-    nodes = spool(marked.groupBy(F.col("_cl_node").alias("node")).agg(*[F.first(n).alias(n[4:]) for n in names]), "near-nodes")
-    links = spool(wide_links(nodes), "near-links")
-    sure = links.where(F.col("distance") <= SURE_DISTANCE).select("a", "b")
-    grouped = components(sure)
-    of = lambda name: grouped.select(F.col("node").alias(name), F.col("root").alias(f"root_{name}"))
-    open_links = links.where(F.col("distance") > SURE_DISTANCE).join(of("a"), "a", "left").join(of("b"), "b", "left")
-    open_links = spool(open_links.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b"), "near-open")
+    options = {"shingle": shingle, "least": least, "id_col": id_col, "text_col": text_col}
+    late = np.zeros(0, np.int64)
+    marked = spool(prefixes(docs, late, **options), "near")
     rows = docs.withColumn("_cl_row", F.xxhash64(text_of(text_col)))
     texts = docs.select(text_of(text_col).alias("text")).withColumn("row", F.xxhash64("text"))
-    node_of = marked.select(F.col("_cl_row").alias("row"), F.col("_cl_node").alias("node")).distinct()
-    asked = open_links.select(F.col("a").alias("node")).unionByName(open_links.select(F.col("b").alias("node"))).distinct()
-    standing = node_of.join(asked, "node", "left_semi").groupBy("node").agg(F.min("row").alias("row"))
-    checked = similar(open_links, standing, texts, shingle=shingle, least=least)
-    roots = components(sure.unionByName(checked))
-    group = F.coalesce(F.col("root"), F.col("_cl_node"))
-    members = marked.join(roots, marked["_cl_node"] == roots["node"], "left").select("_cl_id", "_cl_row", group.alias("group"))
+
+    def of_nodes(found: DataFrame) -> DataFrame:
+        return spool(found.groupBy("node").agg(F.first("size").alias("size"), F.first("prefix").alias("prefix")), "near-nodes")
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        pairs = spool(pairs, "near-open")
+        asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+        standing = marked.join(asked, "node", "left_semi").groupBy("node").agg(F.min("_cl_row").alias("row"))
+        return spool(similar(pairs, standing, texts, shingle=shingle, least=least), "near-links")
+
+    def placed(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+        with_root = nodes.join(roots, "node", "left").select("node", "size", F.coalesce("root", "node").alias("root"), "prefix")
+        return with_root.select("node", "size", "root", F.explode("prefix").alias("token"))
+
+    # large groups of copies are joined through leaders, so that the pairs left to compare are few
+    nodes = of_nodes(marked)
+    links = alike(leader_pairs(nodes.select("node", "size", F.explode("prefix").alias("token")), least))
+    roots = components(links)
+    for _ in range(ROUNDS):
+        groups = placed(nodes, roots).select("token", "root").distinct().groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > CROWD)
+        crowded = [r[0] for r in groups.orderBy(F.desc("n"), "token").limit(MAX_LATE).collect()]
+        more = np.union1d(late, np.array(crowded, np.int64))
+        if len(more) == len(late):
+            break
+        late = more
+        nodes = of_nodes(prefixes(docs, late, **options))
+    roots = components(links.unionByName(alike(crossing_pairs(placed(nodes, roots), least))))
+    group = F.coalesce(F.col("root"), F.col("node"))
+    members = marked.join(roots, "node", "left").select("_cl_id", "_cl_row", group.alias("group"))
     # null ids last
     stays = members.groupBy("group").agg(F.min(F.struct(F.col("_cl_id").isNull(), F.col("_cl_id"), F.col("_cl_row"))).alias("s"))
     stays = stays.select(F.col("s._cl_id").alias("_cl_stay_id"), F.col("s._cl_row").alias("_cl_stay_row"))

@@ -190,6 +190,38 @@ def test_near_dedup_keeps_what_differs(spark):
     assert near_dedup(docs_of(spark, rows)).count() == 60
 
 
+def brute_near(rows, shingle=5, least=0.8):
+    """Ids that stay: the least of each group that pairs of a similarity of ``least`` connect."""
+    sets = {}
+    for i, t, _ in rows:
+        words = t.lower().split()
+        n = min(shingle, len(words))
+        sets[i] = {tuple(words[k : k + n]) for k in range(len(words) - n + 1)} if words else set()
+    return sorted(set(brute_components(sorted(sets), lambda a, b: sets[a] == sets[b] or len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b])).values()))
+
+
+def test_near_dedup_in_crowded_families(spark):
+    rng = random.Random(29)
+    words = [f"word{i}" for i in range(3000)]
+    rows = []
+    for family in range(3):
+        template = [rng.choice(words) for _ in range(150)]
+        bodies = [[rng.choice(words) for _ in range(rng.randint(8, 60))] for _ in range(60)]
+        for k in range(240):
+            # pages of a family are 0.5 to 0.9 alike; some are near copies of another one's body
+            body = list(bodies[k % 60])
+            for _ in range(rng.randint(0, 7)):
+                body[rng.randrange(len(body))] = rng.choice(words)
+            text = list(template)
+            for _ in range(rng.randint(0, 3)):
+                text[rng.randrange(len(text))] = rng.choice(words)
+            rows.append((len(rows), " ".join(text + body), "s"))
+    rng.shuffle(rows)
+    want = brute_near(rows)
+    assert 3 < len(want) < len(rows)
+    assert sorted(r.doc_id for r in near_dedup(docs_of(spark, rows)).collect()) == want
+
+
 def test_near_dedup_odd_rows(spark):
     df = odd_docs(spark)
     out = near_dedup(df)
