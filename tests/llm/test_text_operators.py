@@ -222,6 +222,18 @@ def test_near_dedup_in_crowded_families(spark):
     assert sorted(r.doc_id for r in near_dedup(docs_of(spark, rows)).collect()) == want
 
 
+def test_near_dedup_keeps_texts_that_share_a_repeated_word(spark):
+    rng = random.Random(31)
+    words = [f"word{i}" for i in range(3000)]
+    # over half of the shingles are one shingle, the others are each text's own
+    rows = [(i, "um " * 200 + " ".join(rng.choice(words) for _ in range(100)), "s") for i in range(20)]
+    # the same set of shingles, and one near it
+    rows += [(20, "um " + rows[0][1], "s"), (21, rows[1][1] + " more", "s")]
+    want = brute_near(rows)
+    assert want == list(range(20))
+    assert sorted(r.doc_id for r in near_dedup(docs_of(spark, rows)).collect()) == want
+
+
 def test_near_dedup_odd_rows(spark):
     df = odd_docs(spark)
     out = near_dedup(df)
