@@ -139,6 +139,14 @@ def read_tensors(stream: bytes) -> pa.Table:
         return reader.read_all()
 
 
+def mel_of(stream: bytes) -> np.ndarray:
+    """The frames of a stream of ``tensors``, without the filling of its last tensor."""
+    found = read_tensors(stream)
+    storage = found["mel"].combine_chunks().storage
+    n = round((found["end_s"][-1].as_py() * NEW_RATE - FRAME) / HOP) + 1
+    return storage.flatten().to_numpy().reshape(-1, MELS)[:n]
+
+
 def describe(mel: np.ndarray, spans: list[tuple[int, int]]) -> str:
     """Frames, segments, frames within segments, and each band's mean and deviation in hundredths."""
     numbers = [len(mel), len(spans), sum(b - a for a, b in spans)]
@@ -202,3 +210,22 @@ def features(media: DataFrame, *, media_col: str = "media", with_tensors: bool =
     if with_tensors:
         fields.append("tensors binary, segments array<struct<start_s: double, end_s: double>>")
     return media.select(*kept, *([media_col] if media_col not in kept else [])).mapInArrow(run, ", ".join(fields))
+
+
+def described(stored: DataFrame) -> DataFrame:
+    """Replace tensors and segments, as ``features`` made them, by the feature that they give."""
+    small_batches(stored)
+    kept = [c for c in stored.columns if c not in ("tensors", "segments", "feature")]
+
+    def one(stream: bytes | None, spans: list[dict] | None) -> str | None:
+        if stream is None:
+            return None
+        return describe(mel_of(stream), [(round(s["start_s"] * NEW_RATE / HOP), round((s["end_s"] * NEW_RATE - FRAME) / HOP) + 1) for s in spans])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [one(t.as_py(), s.as_py()) for t, s in zip(batch.column("tensors"), batch.column("segments"))]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(found, pa.string())], [*kept, "feature"])
+
+    fields = [f"`{c}` {stored.schema[c].dataType.simpleString()}" for c in kept] + ["feature string"]
+    return stored.select(*kept, "tensors", "segments").mapInArrow(run, ", ".join(fields))

@@ -35,7 +35,8 @@ def op1_chunk_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = spool(audio_features.to_media(table(spark, sf_dir, "documents").select("doc_id", "text")), "media", compression="zstd")
-    return audio_features.features(stored)
+    found = audio_features.features(stored, with_tensors=True)
+    return audio_features.described(spool(found.drop("feature"), "features", compression="zstd")).select(*found.drop("tensors", "segments").columns)
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -61,6 +61,23 @@ def test_audio_over_a_table(spark):
     assert audio.features(audio.to_media(df.limit(0))).count() == 0
 
 
+def test_op2_stores_tensors_and_spans(spark, tmp_path, monkeypatch):
+    from corpuslake.llm import queries
+
+    texts = ["", "some text " * 40, "".join(chr(32 + i * i % 90) for i in range(9000))]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    written = {}
+    spool = queries.spool
+    monkeypatch.setattr(queries, "spool", lambda df, name, **kw: written.setdefault(name, spool(df, name, **kw)))
+    got = {r.doc_id: r for r in queries.op2_audio_features(spark, str(tmp_path)).collect()}
+    stored = {r.doc_id: r for r in written["features"].collect()}
+    for i, text in enumerate(texts):
+        mel = audio.log_mel(audio.resample((np.frombuffer(audio.payload_of(text), np.uint8).astype(np.float32) - 128) / 128))
+        assert np.array_equal(audio.mel_of(bytes(stored[i].tensors)), mel)
+        assert [round(s.start_s * audio.NEW_RATE / audio.HOP) for s in stored[i].segments] == [a for a, _ in audio.segments(mel)]
+        assert got[i].feature == audio.describe(mel, audio.segments(mel))
+
+
 # urls
 
 
