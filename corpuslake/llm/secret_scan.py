@@ -31,12 +31,13 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "crf")
 
 TOKEN = re.compile(r"[A-Za-z0-9+/_-]+|[^\sA-Za-z0-9+/_-]")
+WORD = re.compile(r"[A-Za-z0-9+/_-](?:.*[A-Za-z0-9+/_-])?", re.DOTALL)
 OUT, BEGIN, INSIDE = 0, 1, 2
 TOKENS, TYPES = 250_000, 300_000
 HINTS = ("pass", "pwd", "secret", "token", "key", "auth", "cred", "bearer", "private", "login")
 FILE_CLASSES = 4
-#: Shorter spans of the CRF aren't reported.
-MIN_CHARS = 12
+#: Shorter spans of the CRF aren't reported; the base patterns take values from this length on.
+MIN_CHARS = 6
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -160,11 +161,23 @@ def _spans(text: str, tags: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+def outside(text: str, span: tuple[int, int], base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """The parts of a span that no base span covers, without blanks and marks around them."""
+    parts, at = [], span[0]
+    for a, b, _ in [*base, (span[1], span[1], 0)]:
+        if a >= at:
+            parts.append((at, min(a, span[1])))
+        at = max(at, b)
+        if at >= span[1]:
+            break
+    return [(a + m.start(), a + m.end()) for a, b in parts if (m := WORD.search(text[a:b]))]
+
+
 def _made_up(rng: random.Random) -> tuple[str, str, str]:
     """What stands before a made-up secret, the secret, and what stands behind."""
     alphabets = ("abcdef0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-")
     alphabet = rng.choice(alphabets)
-    body = "".join(rng.choice(alphabet) for _ in range(rng.randint(14, 44)))
+    body = "".join(rng.choice(alphabet) for _ in range(rng.randint(6, 44)))
     name = rng.choice(("password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "auth", "auth_token", "credential", "private_key", "access_key", "login_key"))
     name = rng.choice((name, name.upper(), name.title()))
     quote = rng.choice(("", "", '"', "'"))
@@ -251,7 +264,7 @@ def training_texts(docs: DataFrame, *, max_docs: int = 1000, id_col: str = "doc_
 def scan(docs: DataFrame, model: Model | None = None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, spans) of each row: spans have start, end (code points, end exclusive) and kind, by start, then kind.
 
-    Base spans are all kept; spans of the CRF are added where they touch none of them.  Null
+    Base spans are all kept; of the CRF's spans the parts outside them are added.  Null
     and empty texts have no spans.  Rows that repeat an id are scanned each.
     """
     model = model or fit(training_texts(docs, id_col=id_col, text_col=text_col))
@@ -268,7 +281,7 @@ def scan(docs: DataFrame, model: Model | None = None, *, id_col: str = "doc_id",
             for text, more in zip(texts, tag_texts(types, texts)):
                 spans = base_spans(text)
                 own = list(spans)
-                spans += [(a, b, 3) for a, b in more if not any(a < e and s < b for s, e, _ in own)]
+                spans += [(a, b, 3) for s in more for a, b in outside(text, s, own)]
                 spans.sort(key=lambda s: (s[0], s[2]))
                 out.append([{"start": a, "end": b, "kind": KINDS[k]} for a, b, k in spans])
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, kind)], ["id", "spans"])

@@ -233,6 +233,24 @@ def test_secret_crf_finds_what_patterns_miss(spark, sf_dir):
     assert sum(bool(s) for s in secret_scan.tag_texts(secret_scan.Types(model), clean)) <= 6
 
 
+def test_secret_crf_finds_short_ones(spark, sf_dir):
+    model = secret_scan.fit(secret_scan.training_texts(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    rng = random.Random(3)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    secrets = ["".join(rng.choice(alphabet) for _ in range(6 + k % 6)) for k in range(60)]
+    made = [f"the words around {('pwd', 'credential', 'auth', 'login_key')[k % 4]}: {s} go on" for k, s in enumerate(secrets)]
+    found = secret_scan.tag_texts(secret_scan.Types(model), made)
+    assert sum(any(t[a:b] == s for a, b in f) for t, s, f in zip(made, secrets, found)) >= 40
+
+
+def test_secret_parts_outside_base_spans():
+    text = "pwd: ZZTOP9-" + "0123456789abcdef" * 2 + "-QX81PLM go on"
+    assert secret_scan.outside(text, (5, 52), secret_scan.base_spans(text)) == [(5, 12), (44, 52)]
+    assert secret_scan.outside(text, (5, 10), secret_scan.base_spans(text)) == [(5, 10)]
+    assert secret_scan.outside(text, (12, 44), secret_scan.base_spans(text)) == []
+    assert secret_scan.outside("(token=abcdefgh)", (0, 16), [(1, 15, 0), (3, 9, 1)]) == []
+
+
 # toxicity
 
 
