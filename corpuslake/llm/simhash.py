@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import small_batches, spool, text_of
@@ -127,12 +127,19 @@ def simhash_components(docs: DataFrame, *, shingle: int = 3, id_col: str = "doc_
     return marked.join(by_mark, marked["_cl_fp"] == by_mark["fp"]).select("_cl_id", "_cl_fp", "_cl_component")
 
 
-#: A shingle in the prefixes of more groups than this goes last in the order, up to so many shingles and rounds.
-CROWD, MAX_LATE, ROUNDS = 32, 100_000, 2
+#: Where prefixes meet in more than PER_NODE pairs a node, shingles of more than CROWD groups go last in the order, at most MAX_LATE.
+PER_NODE, CROWD, MAX_LATE = 20, 32, 100_000
+#: Leaders that a node is compared with before all pairs are, which only saves work.
+LEADERS = 4
+#: 64-bit numbers of a set's sketch.
+SKETCH = 16
 
 
 def prefixes(docs: DataFrame, late: np.ndarray, *, shingle: int, least: float, id_col: str, text_col: str) -> DataFrame:
-    """(_cl_id, _cl_row, node, size, prefix) for each row; node is a hash of its set of shingles, size their number.
+    """(_cl_id, _cl_row, node, size, sketch, prefix) for each row; node is a hash of its set of shingles, size their number.
+
+    A bit of the sketch tells whether an odd number of shingles falls on it, so the sketches of
+    two sets differ in at most as many bits as there are shingles in one set only.
 
     Shingles are ordered by hash, those in ``late`` (sorted) after all others.  The prefix is so
     long that two sets with a Jaccard similarity of ``least`` share a shingle of their prefixes.
@@ -141,51 +148,72 @@ def prefixes(docs: DataFrame, late: np.ndarray, *, shingle: int, least: float, i
     base = docs.select(F.col(id_col).alias("_cl_id"), F.xxhash64(text_of(text_col)).alias("_cl_row"), text_of(text_col).alias("_cl_text"))
     shared = docs.sparkSession.sparkContext.broadcast(late)
 
-    def one(text: str) -> tuple[int, int, np.ndarray]:
+    def one(text: str) -> tuple[int, int, np.ndarray, np.ndarray]:
         own = np.unique(shingle_hashes(text, shingle).astype(np.uint64).view(np.int64))
         n = len(own)
+        odd = np.bincount(own & (64 * SKETCH - 1), minlength=64 * SKETCH) & 1
         node = int(np.uint64(xxhash.xxh64_intdigest(own.tobytes(), SEED)).view(np.int64))
         if len(shared.value) and n:
             at = np.minimum(np.searchsorted(shared.value, own), len(shared.value) - 1)
             own = own[np.argsort(shared.value[at] == own, kind="stable")]
-        return node, n, own[: n - math.ceil(least * n - 1e-9) + 1]
+        return node, n, np.packbits(odd.astype(np.uint8)).view(np.int64), own[: n - math.ceil(least * n - 1e-9) + 1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [one(t) for t in batch.column("_cl_text").to_pylist()]
-            columns = [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column("_cl_id"), batch.column("_cl_row"), *columns], ["_cl_id", "_cl_row", "node", "size", "prefix"])
+            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+            columns = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([batch.column("_cl_id"), batch.column("_cl_row"), *columns], ["_cl_id", "_cl_row", "node", "size", "sketch", "prefix"])
 
     kind = base.schema["_cl_id"].dataType.simpleString()
-    return base.mapInArrow(run, f"_cl_id {kind}, _cl_row long, node long, size long, prefix array<long>")
+    return base.mapInArrow(run, f"_cl_id {kind}, _cl_row long, node long, size long, sketch array<long>, prefix array<long>")
+
+
+def shared_tokens(marked: DataFrame) -> DataFrame:
+    """(token, node, lo, hi): the prefix shingles of the nodes that other nodes have too, with the least and the greatest of these."""
+    nodes = marked.groupBy("node").agg(F.first("prefix").alias("prefix"))
+    every = Window.partitionBy("token")
+    met = nodes.select("node", F.explode("prefix").alias("token")).select("token", "node", F.min("node").over(every).alias("lo"), F.max("node").over(every).alias("hi"))
+    return spool(met.where("lo <> hi"), "near-shared")
 
 
-def _may_reach(common: str, na: str, nb: str, least: float) -> Column:
-    """Whether sets of sizes ``na`` and ``nb`` whose prefixes share ``common`` shingles can be as similar as ``least``.
+def may_be_similar(pairs: DataFrame, info: DataFrame, least: float) -> DataFrame:
+    """(a, b) of pairs (a, b, common), less those whose sizes, shared prefixes or sketches rule out a similarity of ``least``.
 
-    Of the two prefixes one ends first; beyond its end the sets share at most what its set has left.
+    Of two prefixes one ends first; beyond its end the sets share at most what its set has left.
+    A pair's ``common`` is the number of shingles that the prefixes share.
     """
+    of = lambda x: info.select(F.col("node").alias(x), F.col("size").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+    both = F.col("na") + F.col("nb")
+    need = both * (least / (1 + least)) - 1e-6
     left = lambda n: F.ceil(F.col(n) * least - 1e-9) - 1
-    return F.col(common) + F.greatest(left(na), left(nb)) >= (F.col(na) + F.col(nb)) * (least / (1 + least)) - 1e-6
+    apart = sum((F.bit_count(F.col("sa")[i].bitwiseXOR(F.col("sb")[i])) for i in range(SKETCH)), F.lit(0))
+    fits = (F.col("common") + F.greatest(left("na"), left("nb")) >= need) & ((both - apart) / 2 >= need)
+    return pairs.join(of("a"), "a").join(of("b"), "b").where(fits).select("a", "b")
 
 
-def leader_pairs(tokens: DataFrame, least: float) -> DataFrame:
-    """(a, b): nodes with the least and the greatest node that shares a prefix shingle, where they may be similar."""
-    one = F.struct("node", "size")
-    ends = tokens.groupBy("token").agg(F.min(one).alias("lo"), F.max(one).alias("hi")).where("lo.node <> hi.node")
-    met = tokens.join(ends, "token").select("node", "size", F.explode(F.array("lo", "hi")).alias("o")).where("node <> o.node")
-    pairs = met.select(F.col("node").alias("a"), F.col("size").alias("na"), F.col("o.node").alias("b"), F.col("o.size").alias("nb"))
-    return pairs.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("common")).where(_may_reach("common", "na", "nb", least)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def leader_pairs(shared: DataFrame) -> DataFrame:
+    """(a, b, common): each node with those LEADERS of its shingles' least and greatest nodes that it shares most with."""
+    ends = shared.select(F.col("node").alias("a"), F.explode(F.array("lo", "hi")).alias("b")).where("a <> b")
+    met = ends.groupBy("a", "b").agg(F.count("*").alias("common"))
+    nth = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("common"), "b"))
+    return met.withColumn("nth", nth).where(F.col("nth") <= LEADERS).drop("nth")
+
+
+def placed_tokens(shared: DataFrame, roots: DataFrame, info: DataFrame) -> DataFrame:
+    """(token, node, size, root) of the shared shingles that stand in more than one group."""
+    every = Window.partitionBy("token")
+    own = shared.select("token", "node").join(info.select("node", "size"), "node").join(roots, "node", "left")
+    own = own.select("token", "node", "size", F.coalesce("root", "node").alias("root"))
+    return spool(own.withColumn("lo", F.min("root").over(every)).withColumn("hi", F.max("root").over(every)).where("lo <> hi").drop("lo", "hi"), "near-placed")
 
 
 def crossing_pairs(placed: DataFrame, least: float) -> DataFrame:
-    """(a, b): all pairs of nodes of different groups that may be similar, from (token, node, size, root)."""
-    mixed = placed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
-    rows = spool(placed.join(mixed, "token"), "near-mixed")
-    left = rows.select("token", F.col("node").alias("a"), F.col("size").alias("na"), F.col("root").alias("ra"))
-    right = rows.select("token", F.col("node").alias("b"), F.col("size").alias("nb"), F.col("root").alias("rb"))
-    met = left.join(right, "token").where((F.col("ra") < F.col("rb")) & (F.least("na", "nb") >= F.greatest("na", "nb") * least - 1e-6))
-    return met.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("common")).where(_may_reach("common", "na", "nb", least)).select("a", "b")
+    """(a, b, common): all pairs of nodes of different groups that share a shingle and are of like size."""
+    left = placed.select("token", F.col("node").alias("a"), F.col("size").alias("na"), F.col("root").alias("ra"))
+    right = placed.select("token", F.col("node").alias("b"), F.col("size").alias("nb"), F.col("root").alias("rb"))
+    like = F.least("na", "nb") >= F.greatest("na", "nb") * least - 1e-6
+    return left.join(right, "token").where((F.col("ra") < F.col("rb")) & like).groupBy("a", "b").agg(F.count("*").alias("common"))
 
 
 def similar(pairs: DataFrame, standing: DataFrame, texts: DataFrame, *, shingle: int, least: float) -> DataFrame:
@@ -228,37 +256,34 @@ def near_dedup(docs: DataFrame, *, shingle: int = 5, least: float = 0.8, id_col:
     gives an empty result.  The columns of ``docs`` are returned.
     """
     options = {"shingle": shingle, "least": least, "id_col": id_col, "text_col": text_col}
-    late = np.zeros(0, np.int64)
-    marked = spool(prefixes(docs, late, **options), "near")
+    marked = spool(prefixes(docs, np.zeros(0, np.int64), **options), "near")
     rows = docs.withColumn("_cl_row", F.xxhash64(text_of(text_col)))
     texts = docs.select(text_of(text_col).alias("text")).withColumn("row", F.xxhash64("text"))
 
-    def of_nodes(found: DataFrame) -> DataFrame:
-        return spool(found.groupBy("node").agg(F.first("size").alias("size"), F.first("prefix").alias("prefix")), "near-nodes")
+    info = spool(marked.groupBy("node").agg(F.first("size").alias("size"), F.first("sketch").alias("sketch")), "near-nodes")
 
     def alike(pairs: DataFrame) -> DataFrame:
-        pairs = spool(pairs, "near-open")
+        pairs = spool(may_be_similar(pairs, info, least), "near-open")
         asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
         standing = marked.join(asked, "node", "left_semi").groupBy("node").agg(F.min("_cl_row").alias("row"))
         return spool(similar(pairs, standing, texts, shingle=shingle, least=least), "near-links")
 
-    def placed(nodes: DataFrame, roots: DataFrame) -> DataFrame:
-        with_root = nodes.join(roots, "node", "left").select("node", "size", F.coalesce("root", "node").alias("root"), "prefix")
-        return with_root.select("node", "size", "root", F.explode("prefix").alias("token"))
-
     # large groups of copies are joined through leaders, so that the pairs left to compare are few
-    nodes = of_nodes(marked)
-    links = alike(leader_pairs(nodes.select("node", "size", F.explode("prefix").alias("token")), least))
+    shared = shared_tokens(marked)
+    links = alike(leader_pairs(shared))
     roots = components(links)
-    for _ in range(ROUNDS):
-        groups = placed(nodes, roots).select("token", "root").distinct().groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > CROWD)
-        crowded = [r[0] for r in groups.orderBy(F.desc("n"), "token").limit(MAX_LATE).collect()]
-        more = np.union1d(late, np.array(crowded, np.int64))
-        if len(more) == len(late):
-            break
-        late = more
-        nodes = of_nodes(prefixes(docs, late, **options))
-    roots = components(links.unionByName(alike(crossing_pairs(placed(nodes, roots), least))))
+    placed = placed_tokens(shared, roots, info)
+    groups = spool(placed.groupBy("token").agg(F.count("*").alias("n"), F.count_distinct("root").alias("groups")), "near-groups")
+    meetings = groups.agg(F.sum(F.col("n").cast("double") * F.col("groups"))).first()[0] or 0
+    if meetings > PER_NODE * info.count():
+        crowded = groups.where(F.col("groups") > CROWD).orderBy(F.desc("groups"), "token").limit(MAX_LATE).collect()
+        if crowded:
+            late = np.unique(np.array([r["token"] for r in crowded], np.int64))
+            shared = shared_tokens(prefixes(docs, late, **options))
+            links = links.unionByName(alike(leader_pairs(shared)))
+            roots = components(links)
+            placed = placed_tokens(shared, roots, info)
+    roots = components(links.unionByName(alike(crossing_pairs(placed, least))))
     group = F.coalesce(F.col("root"), F.col("node"))
     members = marked.join(roots, "node", "left").select("_cl_id", "_cl_row", group.alias("group"))
     # null ids last
