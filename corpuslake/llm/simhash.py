@@ -262,8 +262,9 @@ def near_dedup(docs: DataFrame, *, shingle: int = 5, least: float = 0.8, id_col:
 
     info = spool(marked.groupBy("node").agg(F.first("size").alias("size"), F.first("sketch").alias("sketch")), "near-nodes")
 
-    def alike(pairs: DataFrame) -> DataFrame:
-        pairs = spool(may_be_similar(pairs, info, least), "near-open")
+    def alike(pairs: DataFrame, known: DataFrame | None = None) -> DataFrame:
+        pairs = may_be_similar(pairs, info, least).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = spool(pairs if known is None else pairs.join(known, ["a", "b"], "left_anti"), "near-open")
         asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
         standing = marked.join(asked, "node", "left_semi").groupBy("node").agg(F.min("_cl_row").alias("row"))
         return spool(similar(pairs, standing, texts, shingle=shingle, least=least), "near-links")
@@ -280,7 +281,7 @@ def near_dedup(docs: DataFrame, *, shingle: int = 5, least: float = 0.8, id_col:
         if crowded:
             late = np.unique(np.array([r["token"] for r in crowded], np.int64))
             shared = shared_tokens(prefixes(docs, late, **options))
-            links = links.unionByName(alike(leader_pairs(shared)))
+            links = links.unionByName(alike(leader_pairs(shared), links))
             roots = components(links)
             placed = placed_tokens(shared, roots, info)
     roots = components(links.unionByName(alike(crossing_pairs(placed, least))))
