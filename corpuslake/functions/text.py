@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# fixed values: replacements and lists of the text rules
+# fixed values: replacements, lists and identifier patterns of the text rules
 LIGATURES = {"ﬁ": "fi", "ﬂ": "fl", "ﬀ": "ff", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "ft", "ﬆ": "st"}
 STOPWORDS = ("a", "an", "the", "of", "for", "in", "on", "to", "and", "or", "about", "with", "using", "based", "via", "into", "is", "are", "what", "how")
 EDGE_MARKS = r""".,;:!?"'()"""
@@ -19,14 +19,18 @@ ID_URL = r"(?i)(?:https?://)?(?:www\.)?(?:export\.)?arxiv\.org/(?:abs|pdf)/([^\s
 CONCLUDING = r"(?i)^\s*(?:\d+(?:\.\d+)*\s+)?(conclusion|conclusions|discussion|results)\b"
 
 
+#: White space of any script, as a class of Java's patterns: no-break, thin and wide spaces, line separators.
+SPACE = r"[\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+
+
 def strip(c: Column) -> Column:
     """Without white space at both ends."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
 
 
 def collapse(c: Column) -> Column:
     """Runs of white space as one space, none at the ends."""
-    return F.trim(F.regexp_replace(c, r"\s+", " "))
+    return F.trim(F.regexp_replace(c, f"{SPACE}+", " "))
 
 
 def some(c: Column) -> Column:
@@ -39,7 +43,7 @@ def some(c: Column) -> Column:
 
 def normalise_id(c: Column) -> Column:
     """A paper id without slashes at its ends or a version; an archive in front of a slash is lower-cased."""
-    bare = F.regexp_replace(F.regexp_replace(c, r"^[\s/]+|[\s/]+$", ""), r"v\d+$", "")
+    bare = F.regexp_replace(F.regexp_replace(strip(c), r"^[\s/]+|[\s/]+$", ""), r"v\d+$", "")
     head = F.substring_index(bare, "/", 1)
     return F.when(F.contains(bare, F.lit("/")), F.concat(F.lower(head), F.substring(bare, F.length(head) + 1, F.length(bare)))).otherwise(bare)
 
@@ -111,7 +115,7 @@ def repair(c: Column) -> Column:
 
 
 def is_page_number(line: Column) -> Column:
-    return strip(line).rlike(r"^\d{1,4}$")
+    return strip(line).rlike(r"^\p{Nd}{1,4}$")
 
 
 def tidy(c: Column) -> Column:
@@ -125,7 +129,7 @@ def quality(text: Column, pages: Column) -> Column:
     dense = F.least(n / pages / F.lit(1500.0), F.lit(1.0))
     letters = F.length(F.regexp_replace(text, r"[^\p{L}]", "")) / n
     abstract = F.when(F.regexp_like(text, F.lit(r"(?i)\babstract\b")), 1.0).otherwise(0.0)
-    spaces = F.greatest(F.lit(0.0), 1.0 - F.abs((n - F.length(F.regexp_replace(text, r"\s", ""))) / n - 0.18) / 0.18)
+    spaces = F.greatest(F.lit(0.0), 1.0 - F.abs((n - F.length(F.regexp_replace(text, SPACE, ""))) / n - 0.18) / 0.18)
     score = 0.35 * dense + 0.35 * letters + 0.15 * abstract + 0.15 * spaces
     return F.when(F.coalesce(strip(text), F.lit("")) == "", 0.0).otherwise(F.round(score, 4))
 
@@ -136,7 +140,7 @@ def opens_conclusion(text: Column) -> Column:
 
 def prefix_key(c: Column, chars: int = 120) -> Column:
     """What near-duplicate passages share: their beginning in lower case with single spaces."""
-    return F.substring(F.regexp_replace(strip(F.lower(c)), r"\s+", " "), 1, chars)
+    return F.substring(F.regexp_replace(strip(F.lower(c)), f"{SPACE}+", " "), 1, chars)
 
 
 def keep_ends(text: Column, budget: Column) -> Column:
@@ -166,16 +170,22 @@ def cited_numbers(answer: Column, passages: Column) -> Column:
 
 
 def json_candidate(response: Column) -> Column:
-    """The object in a model's response: of a fenced block if there is one, from the first brace to its match."""
+    """The object in a model's response: of a fenced block if there is one, from the first brace to its match.
+
+    The match of the first brace is the first closing brace with as many opening ones before it
+    as closing ones up to it, so only the pieces between closing braces are counted.
+    """
     fenced = F.regexp_extract(response, r"(?s)```(?:json)?\s*(.*?)\s*```", 1)
     text = F.when(F.regexp_like(response, F.lit(r"(?s)```(?:json)?\s*(.*?)\s*```")), fenced).otherwise(strip(response))
     at = F.locate("{", text)
     rest = F.substring(text, at, F.length(text))
-    braces = F.transform(F.split(rest, ""), lambda ch: F.when(ch == "{", 1).when(ch == "}", -1).otherwise(0))
+    pieces = F.split(rest, r"\}")
+    # what follows the last closing brace can't hold the match
+    counted = F.transform(F.slice(pieces, 1, F.greatest(F.size(pieces) - 1, F.lit(0))), lambda x: F.struct(F.length(x).alias("n"), (F.length(x) - F.length(F.replace(x, F.lit("{"), F.lit("")))).alias("opened")))
     closed = F.aggregate(
-        braces,
+        counted,
         F.struct(F.lit(0).alias("n"), F.lit(0).alias("depth"), F.lit(0).alias("end")),
-        lambda s, b: F.struct((s["n"] + 1).alias("n"), (s["depth"] + b).alias("depth"), F.when((s["end"] == 0) & (b < 0) & (s["depth"] + b == 0), s["n"] + 1).otherwise(s["end"]).alias("end")),
+        lambda s, x: F.struct((s["n"] + x["n"] + 1).alias("n"), (s["depth"] + x["opened"] - 1).alias("depth"), F.when((s["end"] == 0) & (s["depth"] + x["opened"] == 1), s["n"] + x["n"] + 1).otherwise(s["end"]).alias("end")),
         lambda s: s["end"],
     )
     whole = F.try_parse_json(text).isNotNull()

@@ -43,10 +43,24 @@ def last_turns(turns: DataFrame, n: int = 20) -> DataFrame:
 
 
 def format_passages(passages: DataFrame) -> DataFrame:
-    """(query_id, n_passages, passages, sections): numbered passages, and their sections, each once, in order."""
+    """(query_id, n_passages, passages, sections, listed): numbered passages; their sections, each once, in order; passages as sources.
+
+    ``listed`` has passage and section_title, and of chunk_index and score what ``passages`` has.
+    """
     one = F.concat(F.lit("["), F.col("passage"), F.lit("] ("), F.col("section_title"), F.lit(") "), F.col("text"))
-    gathered = passages.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("passage", one.alias("one"), "section_title"))).alias("all"))
-    return gathered.select("query_id", F.size("all").alias("n_passages"), F.array_join(F.transform("all", lambda s: s["one"]), "\n\n").alias("passages"), F.array_distinct(F.transform("all", lambda s: s["section_title"])).alias("sections"))
+    source = ["passage", "section_title", *[c for c in ("chunk_index", "score") if c in passages.columns]]
+    gathered = passages.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("passage", one.alias("one"), F.struct(*source).alias("source")))).alias("all"))
+    return gathered.select(
+        "query_id", F.size("all").alias("n_passages"), F.array_join(F.transform("all", lambda s: s["one"]), "\n\n").alias("passages"),
+        F.array_distinct(F.transform("all", lambda s: s["source"]["section_title"])).alias("sections"), F.transform("all", lambda s: s["source"]).alias("listed"))
+
+
+def answer_sources(n_passages: Column, model: Column, response: Column, failure: Column, listed: Column) -> Column:
+    """The sources of an answer: those that a grounded answer of a model cites; all that were found for any other outcome."""
+    cited = cited_numbers(response, n_passages)
+    own = F.filter(listed, lambda s: F.array_contains(cited, s["passage"]))
+    answered = (model != "none") & failure.isNull() & ~F.contains(response, F.lit(NOT_IN_PAPER))
+    return F.when(F.coalesce(n_passages, F.lit(0)) == 0, F.slice(listed, 1, 0)).when(F.coalesce(answered, F.lit(False)), own).otherwise(listed)
 
 
 def cited_sources(answers: DataFrame, passages: DataFrame) -> DataFrame:

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from ..config import Settings
 from ..functions import text as tx
 from ..operators import briefing, chunking, dialogue, layout, sections, service, state, vectors
+from ..sources import tables
 from ..sources.tables import read, search_catalogue
+from . import flows
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -433,7 +435,7 @@ def chunk_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(r"""WITH k AS (SELECT doc_id, n_chars, substr(regexp_replace(regexp_replace(lower(text), '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g'), 1, 120) AS key FROM documents),
 r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY n_chars DESC, doc_id) AS nth FROM k) SELECT doc_id, n_chars FROM r WHERE nth = 1""")
 def prefix_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select("doc_id", "n_chars", F.xxhash64(tx.prefix_key(F.col("text"))).alias("h"), tx.prefix_key(F.col("text")).alias("key"))
+    docs = read(spark, sf_dir, "documents").select("doc_id", "n_chars", tx.prefix_key(F.col("text")).alias("key"))
     best = docs.groupBy("key").agg(F.max(F.struct("n_chars", (-F.col("doc_id")).alias("first"))).alias("b"))
     return best.select((-F.col("b.first")).alias("doc_id"), F.col("b.n_chars").alias("n_chars"))
 
@@ -650,3 +652,352 @@ def routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     errors = F.when(n % 7 == 0, F.array(F.concat(F.lit("e"), n))).otherwise(F.array().cast("array<string>"))
     out = read(spark, sf_dir, "events").select("event_id", next_.alias("r"), F.element_at(state.with_error(errors, intent), -1).alias("message"))
     return out.select("event_id", "r.*", "message")
+
+
+# queries that reach the operators which the ones above leave out
+
+
+@query(r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(replace(text, ' ', ' ' || chr(9)), '[ ' || chr(9) || ']+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS text FROM documents""")
+def normalise_ws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").select("doc_id", tx.tidy(F.replace("text", F.lit(" "), F.lit(" \t"))).alias("text"))
+
+
+
+@query("SELECT doc_id, text FROM documents")
+def ligatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ligatures are put in place of their letters, and repaired to what was there."""
+    sick = F.col("text")
+    for sign, letters in tx.LIGATURES.items():
+        sick = F.replace(sick, F.lit(letters), F.lit(sign))
+    # a hyphen at a line's end would be repaired too, in the original
+    return read(spark, sf_dir, "documents").select("doc_id", F.when(F.contains("text", F.lit("-\n")), F.col("text")).otherwise(tx.repair(sick)).alias("text"))
+
+
+CLEAN = """text || chr(10) || 'Running Head' || chr(10) || '17' || chr(10) || 'of the de-' || chr(10) || 'sign' || chr(10) || ' Running Head' || chr(10) || 'con' || chr(64257) || 'ned' || chr(10) || 'Running Head ' || chr(10) || '2024' || chr(10) || '20245'"""
+
+
+@query(rf"""WITH f AS (SELECT doc_id, regexp_replace(replace(replace({CLEAN}, chr(64257), 'fi'), chr(64258), 'fl'), '([\p{{L}}\p{{N}}_])-\n([\p{{L}}\p{{N}}_])', '\1\2', 'g') AS text FROM documents),
+l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM f)),
+c AS (SELECT *, {strip_sql('line')} AS bare, count(*) OVER (PARTITION BY doc_id, {strip_sql('line')}) AS n FROM l),
+k AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) FILTER (bare = '' OR NOT ((n >= 3 AND length(bare) BETWEEN 3 AND 120) OR regexp_full_match(bare, '\d{{1,4}}'))) AS t FROM c GROUP BY doc_id)
+SELECT doc_id, {strip_sql("regexp_replace(regexp_replace(coalesce(t, ''), '[ ' || chr(9) || ']+', ' ', 'g'), '" + chr(92) + "n{3,}', chr(10) || chr(10), 'g')")} AS text FROM k""")
+def clean_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole cleaning of texts with a running head, page numbers, a broken word and a ligature."""
+    sick = F.concat("text", F.lit("\nRunning Head\n17\nof the de-\nsign\n Running Head\nconﬁned\nRunning Head \n2024\n20245"))
+    return sections.clean_text(read(spark, sf_dir, "documents").select("doc_id", sick.alias("text")), "doc_id")
+
+
+@query(f"WITH {PAGES}, {OFFSETS} SELECT paper_id, page_no, CAST(off AS BIGINT) AS start FROM o")
+def page_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sections.page_offsets(made_pages(spark, sf_dir)).select("paper_id", "page_no", F.col("offset").cast("long").alias("start"))
+
+
+# every fourth line is a numbered heading, every line after it a keyword, every line after that a large line
+
+HEADED = """hp AS (SELECT doc_id AS paper_id, CAST(0 AS INTEGER) AS page_no, string_agg(CASE (pos - 1) % 4 WHEN 0 THEN CAST((pos - 1) // 4 + 1 AS VARCHAR) || ' Results ' || line WHEN 1 THEN ' related WORK : ' WHEN 2 THEN 'Large ' || CAST(pos % 3 AS VARCHAR) ELSE line END, chr(10) ORDER BY pos) AS text
+FROM (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)) GROUP BY ALL),
+hl AS (SELECT paper_id, unnest(l) AS line, generate_subscripts(l, 1) AS k FROM (SELECT paper_id, string_split(text, chr(10)) AS l FROM hp)),
+hn AS (SELECT paper_id, line, CAST(coalesce(sum(length(line) + 1) OVER (PARTITION BY paper_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS pos FROM hl),
+hc AS (SELECT paper_id, pos, regexp_extract(line, '^(\\d+)\\s+([A-Z].{0,100})$', 1) || ' ' || trim(regexp_extract(line, '^(\\d+)\\s+([A-Z].{0,100})$', 2)) AS title, 0 AS prio FROM hn
+  WHERE regexp_matches(line, '^\\d+\\s+[A-Z].{0,100}$') AND CAST(regexp_extract(line, '^(\\d+)', 1) AS BIGINT) <= 20 AND NOT regexp_matches(line, '\\bet al\\.|\\(\\d{4}[a-z]?\\)|\\[\\d+\\]\\s*$')
+  UNION ALL SELECT paper_id, pos, 'Related Work', 1 FROM hn WHERE line = ' related WORK : '
+  UNION ALL SELECT paper_id, pos, 'Abstract', 1 FROM hn WHERE lower(trim(line)) = 'abstract'
+  UNION ALL SELECT paper_id, min(pos), title, 2 FROM (SELECT paper_id, pos, trim(line) AS title FROM hn WHERE trim(line) IN ('Large 0', 'Large 1', 'related WORK :')) GROUP BY paper_id, title),
+hm AS (SELECT *, row_number() OVER (PARTITION BY paper_id, pos ORDER BY prio) AS nth FROM hc)"""
+
+
+@query(f"WITH {HEADED} SELECT paper_id, pos, title FROM hm WHERE nth = 1")
+def heading_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbered, keyword and font headings, merged: a font heading where a keyword stands is dropped."""
+    lines = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("paper_id"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    k = F.col("pos") % 4
+    said = F.when(k == 0, F.concat(F.floor(F.col("pos") / 4) + 1, F.lit(" Results "), F.col("line"))).when(k == 1, " related WORK : ").when(k == 2, F.concat(F.lit("Large "), (F.col("pos") + 1) % 3)).otherwise(F.col("line"))
+    gathered = lines.groupBy("paper_id").agg(F.array_sort(F.collect_list(F.struct("pos", said.alias("line")))).alias("all"))
+    pages = gathered.select("paper_id", F.lit(0).alias("page_no"), F.array_join(F.transform("all", lambda s: s["line"]), "\n").alias("text"))
+    fonts = pages.select("paper_id", F.explode(F.array(*map(F.lit, ("Large 0", "Large 1", "related WORK :", "Not there")))).alias("title"))
+    return sections.merge_candidates(sections.heading_candidates(sections.text_lines(pages), fonts)).select("paper_id", "pos", "title")
+
+
+SPLITS = r"""a AS (SELECT doc_id, t AS text, list_filter(list_transform(string_split_regex(t, '\n\s*\n'), lambda x: {s}), lambda x: x <> '') AS p1, list_filter(list_transform(string_split(t, chr(10)), lambda x: {s}), lambda x: x <> '') AS p2
+  FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN replace(text, chr(10), chr(10) || ' ' || chr(10)) ELSE text END AS t FROM documents)),
+p AS (SELECT doc_id, text, CASE WHEN len(p1) > 1 THEN p1 ELSE p2 END AS ps FROM a)""".format(s=strip_sql("x"))
+SENTENCES = r"list_filter(list_transform(string_split(regexp_replace({0}, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda z: {1}), lambda z: z <> '')"
+
+
+def spaced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, every other one with its lines as paragraphs."""
+    return read(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.replace("text", F.lit("\n"), F.lit("\n \n"))).otherwise(F.col("text")).alias("text"))
+
+
+def told_pieces(made: DataFrame, found) -> DataFrame:
+    return made.select("doc_id", found.alias("found")).select("doc_id", F.size("found").cast("long").alias("n"), F.md5(F.array_join("found", "|")).alias("pieces"))
+
+
+@query(f"WITH {SPLITS} SELECT doc_id, len(ps) AS n, md5(array_to_string(ps, '|')) AS pieces FROM p")
+def paragraph_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return told_pieces(spaced(spark, sf_dir), chunking.paragraphs(F.col("text")))
+
+
+@query(f"WITH {SPLITS}, s AS (SELECT doc_id, {SENTENCES.format('text', strip_sql('z'))} AS ss FROM a) SELECT doc_id, len(ss) AS n, md5(array_to_string(ss, '|')) AS pieces FROM s")
+def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return told_pieces(spaced(spark, sf_dir), chunking.sentences(F.col("text")))
+
+
+@query("WITH h AS (SELECT doc_id, list_transform(range(0, length(text), 70), lambda i: substr(text, i + 1, 70)) AS hs FROM documents) SELECT doc_id, len(hs) AS n, md5(array_to_string(hs, '|')) AS pieces FROM h")
+def hard_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return told_pieces(read(spark, sf_dir, "documents"), chunking.hard_cuts(F.col("text"), 70))
+
+
+@query(f"""WITH {SPLITS}, q AS (SELECT doc_id, flatten(list_transform(ps, lambda y: CASE WHEN length(y) <= 90 THEN [y] ELSE
+  flatten(list_transform({SENTENCES.format('y', strip_sql('z'))}, lambda w: CASE WHEN length(w) <= 90 THEN [w] ELSE list_transform(range(0, length(w), 90), lambda i: substr(w, i + 1, 90)) END)) END)) AS qs FROM p)
+SELECT doc_id, len(qs) AS n, md5(array_to_string(qs, '|')) AS pieces FROM q""")
+def atomic_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return told_pieces(spaced(spark, sf_dir), chunking.atomic_pieces(F.col("text"), 90))
+
+
+# vectors of texts: an embedder that counts words in places by their MD5, so that SQL can do the same
+
+
+def md5_embedding(texts: list[str]) -> list[list[float]]:
+    import hashlib
+
+    out = []
+    for text in texts:
+        row = [0.0] * 64
+        for word in text.split(" "):
+            if word:
+                row[int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % 64] += 1.0
+        out.append(row)
+    return out
+
+
+MD5_VECTORS = """w AS (SELECT doc_id, CAST('0x' || substr(md5(word), 1, 8) AS BIGINT) % 64 AS place, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS word FROM documents) WHERE word <> '' GROUP BY ALL),
+l AS (SELECT doc_id, sqrt(sum(n * n)::DOUBLE) AS norm FROM w GROUP BY doc_id), e AS (SELECT doc_id, place, n / norm AS v FROM w JOIN l USING (doc_id))"""
+
+
+@query(f"WITH {MD5_VECTORS} SELECT doc_id, CAST(place AS INTEGER) AS place, round(v, 4) AS v FROM e")
+def hashed_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unit vectors from an embedder in the workers, a row a place that isn't zero."""
+    made = vectors.embed(read(spark, sf_dir, "documents").select("doc_id", "text"), embed_fn=md5_embedding)
+    return made.select("doc_id", F.posexplode("embedding").alias("place", "v")).where("v > 0").select("doc_id", "place", F.round(F.col("v").cast("double"), 4).alias("v"))
+
+
+@query(f"""WITH {MD5_VECTORS}, s AS (SELECT q.doc_id AS query_id, e.doc_id, sum(q.v * e.v) AS score FROM e q JOIN e ON q.place = e.place WHERE q.doc_id % 100 = 0 GROUP BY ALL)
+SELECT query_id, count(*) FILTER (score >= 0.8) AS near, round(max(score), 3) AS best FROM s GROUP BY query_id""")
+def embed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many documents are near to each hundredth, and how near the nearest is: queries are embedded as a table."""
+    made = vectors.embed(read(spark, sf_dir, "documents").select("doc_id", "text"), embed_fn=md5_embedding)
+    asked = made.where("doc_id % 100 = 0").select("doc_id", "embedding")
+    found = vectors.search(made, asked, 2**20, id_col="doc_id")
+    return found.groupBy("query_id").agg(F.count_if(F.col("score") >= 0.8).alias("near"), F.round(F.max("score"), 3).alias("best"))
+
+
+@query("""WITH d AS (SELECT doc_id, source, n_chars, substr(regexp_replace(regexp_replace(lower(text), '^\\s+|\\s+$', '', 'g'), '\\s+', ' ', 'g'), 1, 120) AS key FROM documents),
+r AS (SELECT *, row_number() OVER (PARTITION BY source, key ORDER BY n_chars DESC, doc_id) AS nth FROM d WHERE n_chars >= 200)
+SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS passage FROM r WHERE nth = 1""")
+def passage_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The floor and the dedupe of retrieval, over documents: a query a source, lengths as scores."""
+    hits = read(spark, sf_dir, "documents").select(F.col("source").alias("query_id"), "doc_id", F.col("n_chars").alias("score"), F.col("doc_id").alias("rank"), "text")
+    out = vectors.floor_and_dedupe(hits, 200, tx.prefix_key(F.col("text")), order_col="doc_id")
+    return out.select(F.col("query_id").alias("source"), "doc_id", F.col("passage").cast("long").alias("passage"))
+
+
+@query("SELECT label, vec_id, CASE WHEN label IN (2, 5) THEN 'new' ELSE 'old' END AS state FROM embeddings WHERE label NOT IN (2, 5) OR vec_id % 2 = 0")
+def upsert_collections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two collections are replaced by half of their vectors; the others stay."""
+    old = read(spark, sf_dir, "embeddings").select("label", "vec_id", "embedding", F.lit("old").alias("state"))
+    fresh = old.where("label IN (2, 5) AND vec_id % 2 = 0").withColumn("state", F.lit("new"))
+    return vectors.upsert(old, fresh, "label").select("label", "vec_id", "state")
+
+
+@query("SELECT DISTINCT doc_id // 10 AS paper_id, (doc_id // 10) % 3 <> 0 AS fresh FROM documents")
+def index_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Indexing with two thirds of the papers new: those whose chunks are stored already aren't embedded again."""
+    body = made_sections(spark, sf_dir)
+    shape = "paper_id long, chunk_id string, text string, section_title string, chunk_index int, embedding array<float>"
+    whole = flows.index(body.where("paper_id % 3 = 0"), spark.createDataFrame([], shape), md5_embedding)
+    out = flows.index(body, whole.withColumn("embedding", F.array(F.lit(2.0).cast("float"))), md5_embedding)
+    return out.groupBy("paper_id").agg((F.max(F.get("embedding", F.lit(0))) < 2).alias("fresh"))
+
+
+# the catalogue of papers, and requests to it
+
+
+@query(r"""SELECT '23' || lpad(CAST(doc_id // 1000 AS VARCHAR), 2, '0') || '.' || lpad(CAST(doc_id % 100000 AS VARCHAR), 5, '0') AS paper_id, trim(regexp_replace(source || '  ' || lang, '\s+', ' ', 'g')) AS title,
+trim(regexp_replace(text, '\s+', ' ', 'g')) AS abstract, CAST(DATE '2024-01-01' + CAST(doc_id % 300 AS INTEGER) AS DATE) AS published, CASE WHEN doc_id % 2 = 0 THEN 'https://example.org/' || doc_id ELSE
+'https://arxiv.org/pdf/23' || lpad(CAST(doc_id // 1000 AS VARCHAR), 2, '0') || '.' || lpad(CAST(doc_id % 100000 AS VARCHAR), 5, '0') END AS pdf_url, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE '10.1/' || doc_id END AS doi FROM documents""")
+def map_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search results made from documents, as papers."""
+    n = F.col("doc_id")
+    entry = F.concat(F.lit("http://arxiv.org/abs/23"), F.lpad(F.floor(n / 1000).cast("string"), 2, "0"), F.lit("."), F.lpad((n % 100000).cast("string"), 5, "0"), F.lit("v2"))
+    raw = read(spark, sf_dir, "documents").select(
+        entry.alias("entry_id"), F.concat("source", F.lit(" \n "), "lang").alias("title"), F.array("source").alias("authors"), F.col("text").alias("summary"),
+        F.to_timestamp(F.date_add(F.lit("2024-01-01").cast("date"), (n % 300).cast("int"))).alias("published"), F.lit(None).cast("timestamp").alias("updated"), F.array("lang").alias("categories"),
+        F.when(n % 2 == 0, F.concat(F.lit("https://example.org/"), n)).alias("pdf_url"), F.when(n % 3 == 0, "").otherwise(F.concat(F.lit("10.1/"), n)).alias("doi"))
+    return tables.map_results(raw).select("paper_id", "title", "abstract", "published", "pdf_url", "doi")
+
+
+@query("""SELECT event_id, d.doc_id IS NOT NULL AS found, d.source AS title, CASE WHEN d.doc_id IS NULL THEN 'No paper has the ID ' || (event_id * 7) || '.' END AS error
+FROM events e LEFT JOIN documents d ON d.doc_id = e.event_id * 7""")
+def id_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    papers = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("paper_id"), F.col("source").alias("title"))
+    asked = read(spark, sf_dir, "events").select("event_id", (F.col("event_id") * 7).cast("string").alias("paper_id"))
+    return tables.lookup(papers, asked).select("event_id", F.col("paper").isNotNull().alias("found"), "paper.title", "error")
+
+
+@query("""WITH p AS (SELECT doc_id // 10 AS paper_id, min(CASE WHEN doc_id % 10 = 0 THEN trim(source) END) AS abstract, min(CASE WHEN doc_id % 10 = 1 AND (doc_id // 10) % 3 <> 1 THEN text END) AS found FROM documents GROUP BY 1)
+SELECT paper_id, md5(coalesce(CASE WHEN paper_id % 3 = 0 THEN abstract END, regexp_replace(found, '^\\s+|\\s+$', '', 'g'), '')) AS abstract FROM p""")
+def abstract_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalogue's abstract, else the section's, else none."""
+    docs = read(spark, sf_dir, "documents")
+    paper, pos = F.floor(F.col("doc_id") / 10), F.col("doc_id") % 10
+    known = docs.groupBy(paper.alias("paper_id")).agg(F.min(F.when(pos == 0, F.concat(F.lit(" "), F.col("source")))).alias("own"))
+    papers = known.select("paper_id", F.when(F.col("paper_id") % 3 == 0, F.col("own")).otherwise(" \n").alias("abstract"))
+    made = docs.where(pos == 1).select(paper.alias("paper_id"), pos.alias("section_pos"), F.when(paper % 3 == 1, "Notes").otherwise(" ABSTRACT ").alias("title"), "text")
+    return sections.resolve_abstract(papers, made).select("paper_id", F.md5("abstract").alias("abstract"))
+
+
+@query("""WITH q AS (SELECT event_id AS request_id, CASE event_id % 4 WHEN 0 THEN 'lookup' WHEN 1 THEN 'missing' WHEN 2 THEN 'blank' ELSE 'topic' END AS kind FROM events),
+d AS (SELECT min(doc_id) AS id FROM documents)
+SELECT request_id, CASE kind WHEN 'blank' THEN 'unknown' WHEN 'topic' THEN 'topic_search' ELSE 'paper_lookup' END AS intent,
+CASE kind WHEN 'lookup' THEN '2301.' || lpad(CAST(id AS VARCHAR), 5, '0') WHEN 'topic' THEN CASE WHEN request_id % 8 = 3 THEN '2301.' || lpad(CAST(id AS VARCHAR), 5, '0') END END AS paper_id,
+CASE kind WHEN 'missing' THEN 'ask_user_to_rephrase' WHEN 'blank' THEN 'error' WHEN 'topic' THEN CASE WHEN request_id % 8 = 3 THEN NULL ELSE 'confirm_with_user' END END AS next_action,
+CASE kind WHEN 'lookup' THEN 'understand_query > search_arxiv > fetch_parse > chunk_embed > summarize' WHEN 'missing' THEN 'understand_query > search_arxiv' WHEN 'blank' THEN 'understand_query > handle_error'
+  ELSE CASE WHEN request_id % 8 = 3 THEN 'understand_query > search_arxiv > select_paper > fetch_parse > chunk_embed > summarize' ELSE 'understand_query > search_arxiv > select_paper' END END AS route,
+CASE kind WHEN 'missing' THEN 'No paper has the ID 9999.99999.' WHEN 'blank' THEN 'I couldn''t understand that as an arXiv ID, URL, or topic. Please provide a paper to look up or a topic to search for.' ELSE '' END AS errors,
+CASE WHEN kind = 'lookup' OR (kind = 'topic' AND request_id % 8 = 3) THEN 'No language model is configured.' ELSE '' END AS warnings FROM q, d""")
+def run_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One run of requests of every kind: ids that are there or not, blank ones, topics that are found clearly or to be confirmed."""
+    docs = read(spark, sf_dir, "documents")
+    pid = F.concat(F.lit("2301."), F.lpad(F.col("doc_id").cast("string"), 5, "0"))
+    first = docs.agg(F.min("doc_id").alias("doc_id")).join(docs, "doc_id")
+    papers = first.select(pid.alias("paper_id"), F.lit("Clear Zebra Topic").alias("title"), F.array("source").alias("authors"), F.lit("of zebras").alias("abstract"), F.lit("2024-01-01").cast("date").alias("published"), F.lit("u").alias("abs_url"))
+    pages = first.select(pid.alias("paper_id"), F.lit(0).alias("page_no"), F.concat(F.lit("Abstract\n"), F.col("text")).alias("text"))
+    n = F.col("event_id")
+    said = F.when(n % 4 == 0, papers_id(first)).when(n % 4 == 1, "see 9999.99999").when(n % 4 == 2, " \n").when(n % 8 == 3, "the zebra topic").otherwise("zebras")
+    asked = read(spark, sf_dir, "events").select(n.alias("request_id"), said.alias("text"))
+    shape = "paper_id string, chunk_id string, text string, section_title string, chunk_index int, embedding array<float>"
+    done = flows.run(asked, papers, pages, spark.createDataFrame([], shape), tables.scratch(spark), embed_fn=zebra_embedding)
+    return done.sessions.select("request_id", "intent", "paper_id", "next_action", "route", F.array_join("errors", "; ").alias("errors"), F.array_join("warnings", "; ").alias("warnings"))
+
+
+def papers_id(first: DataFrame):
+    return F.lit("2301." + str(first.first()["doc_id"]).zfill(5))
+
+
+def zebra_embedding(texts: list[str]) -> list[list[float]]:
+    """Topics of one word point away from everything else."""
+    return [[0.0, 1.0] if t == "all:zebras" else [1.0, 0.0] for t in texts]
+
+
+@query(PASSAGES + """, u AS (SELECT query_id, (query_id // 100) % 4 AS k, passage, section_title, vec_id, count(*) OVER (PARTITION BY query_id) AS n FROM ps WHERE query_id % 500 <> 0)
+SELECT query_id, CAST(passage AS INTEGER) AS passage, section_title, vec_id FROM u WHERE k <> 3 OR passage IN (2, 1)""")
+def answer_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sources of all outcomes of a question: a model's answer has those that it cites, any other all."""
+    found = made_passages(spark, sf_dir).where("query_id % 500 <> 0").withColumnRenamed("vec_id", "chunk_index")
+    k = F.floor(F.col("query_id") / 100) % 4
+    said = F.when(k == 2, "So NOT_IN_PAPER.").otherwise("It is so [2], see [1] and [99].")
+    told = dialogue.answer_sources(F.col("n_passages"), F.when(k == 0, "none").otherwise("model"), said, F.when(k == 1, "busy"), F.col("listed"))
+    return dialogue.format_passages(found).select("query_id", F.explode(told).alias("s")).select("query_id", F.col("s.passage").cast("int").alias("passage"), "s.section_title", F.col("s.chunk_index").alias("vec_id"))
+
+
+# briefings
+
+
+@query(f"""WITH {PICKED}, c AS (SELECT paper_id, count(*) AS n, sum(length(text)) AS raw FROM pk GROUP BY 1) SELECT paper_id, CASE WHEN n > 1 AND raw > 8000 THEN 'map_reduce' ELSE 'single_pass' END AS strategy, CASE WHEN n > 1 AND raw > 8000 THEN n ELSE 0 END AS calls FROM c""")
+def map_reduce_trigger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which papers are listed section by section first, and how many requests that makes."""
+    body = made_sections(spark, sf_dir)
+    found = flows.contexts(body, 5000)
+    calls = flows.map_requests(body, found).groupBy("paper_id").agg(F.count("*").alias("calls"))
+    return found.join(calls, "paper_id", "left").select("paper_id", "strategy", F.coalesce("calls", F.lit(0).cast("long")).alias("calls"))
+
+
+@query(r"""WITH m AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN text ELSE list_reduce(list_transform(string_split(text, chr(10)), lambda l, i: CASE WHEN i % 2 = 1 THEN ' - ' || l ELSE l END), lambda a, b: a || chr(10) || b) END AS r FROM documents),
+b AS (SELECT doc_id, r, list_transform(list_filter(string_split(r, chr(10)), lambda l: regexp_matches(l, '^\s*[-•]')), lambda l: regexp_replace(regexp_replace(l, '^[-• ]+', ''), '^\s+|\s+$', '', 'g')) AS bs FROM m)
+SELECT doc_id, md5(array_to_string(CASE WHEN doc_id % 5 = 0 THEN ['Raw text'] WHEN len(bs) > 0 THEN bs ELSE [substr(regexp_replace(r, '^\s+|\s+$', '', 'g'), 1, 300)] END, '|')) AS facts FROM b""")
+def map_bullets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The facts of responses with and without lists, and of failed ones."""
+    listed = F.array_join(F.transform(F.split("text", "\n"), lambda x, i: F.when(i % 2 == 0, F.concat(F.lit(" - "), x)).otherwise(x)), "\n")
+    n = F.col("doc_id")
+    facts = briefing.bullets(F.when(n % 3 == 0, F.col("text")).otherwise(listed), F.lit(" Raw text "), n % 5 == 0)
+    return read(spark, sf_dir, "documents").select("doc_id", F.md5(F.array_join(facts, "|")).alias("facts"))
+
+
+@query(f"""WITH {BRIEF} SELECT CAST(doc_id AS VARCHAR) AS paper_id, 'Paper ' || doc_id AS title, source || ', ' || lang AS authors, CAST(DATE '2024-01-01' + CAST(doc_id % 300 AS INTEGER) AS DATE) AS published, 'https://example.org/' || doc_id AS link, md5(why) AS why_md5,
+array_to_string(list_filter([CASE WHEN doc_id % 2 = 0 THEN 'Long paper: summarized via map-reduce over 4 sections before final synthesis.' END, CASE WHEN doc_id % 5 = 0 THEN 'This briefing is based on degraded or partial paper text (low-quality PDF extraction or an abstract-only fallback); some fields may be less reliable.' END,
+CASE WHEN doc_id % 3 = 0 THEN 'Partial text.' END], lambda x: x IS NOT NULL), ' ') AS notes FROM v WHERE doc_id % 4 <> 1 AND words BETWEEN 40 AND 200 AND nm BETWEEN 3 AND 8 AND nk >= 2 AND nf BETWEEN 3 AND 5""")
+def summary_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Responses with wrong facts, with too little in them, or that are no JSON: the facts of briefings are the catalogue's."""
+    docs = read(spark, sf_dir, "documents")
+    n, own = F.col("doc_id"), made_briefing()
+    names = [f.split()[0] for f in briefing.FIELDS.split(", ")]
+    wrong = F.to_json(F.struct(F.lit("A wrong title").alias("title"), F.array(F.lit("Nobody")).alias("authors"), *[own[f].alias(f) for f in names]))
+    said = F.when(n % 4 == 0, F.concat(F.lit("```json\n"), wrong, F.lit("\n```"))).when(n % 4 == 1, "I can't do that.").otherwise(wrong)
+    checked = docs.select(n.cast("string").alias("paper_id"), briefing.checked(said).alias("c")).select("paper_id", "c.object", "c.problems")
+    papers = docs.select(own["paper_id"].alias("paper_id"), own["title"].alias("title"), own["authors"].alias("authors"), own["published"].alias("published"), own["link"].alias("abs_url"))
+    found = docs.select(n.cast("string").alias("paper_id"), F.when(n % 2 == 0, "map_reduce").otherwise("single_pass").alias("strategy"), F.lit(4).cast("long").alias("n_sections"))
+    report = docs.select(n.cast("string").alias("paper_id"), F.lit(0.9).alias("quality"), F.when(n % 5 == 0, "abstract_only").otherwise("text").alias("parse_method"))
+    out = flows.finish_briefings(checked, papers, found, report)
+    return out.select("paper_id", "title", F.array_join("authors", ", ").alias("authors"), "published", "link", F.md5("why_it_matters").alias("why_md5"), F.coalesce("confidence_notes", F.lit("")).alias("notes"))
+
+
+@query(f"WITH {BRIEF} SELECT doc_id, 'Paper ' || doc_id AS title, lang AS second_author, CASE WHEN doc_id % 3 = 0 THEN 'Partial text.' END AS notes, md5(problem) AS problem_md5, CAST(doc_id % 3 <> 0 AS BOOLEAN) AS says_null FROM v")
+def render_js(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields read back from rendered JSON; a null field is written as one."""
+    made = read(spark, sf_dir, "documents").select("doc_id", briefing.render_json(made_briefing()).alias("j"))
+    field = lambda path: F.get_json_object("j", path)
+    return made.select("doc_id", field("$.title").alias("title"), field("$.authors[1]").alias("second_author"), field("$.confidence_notes").alias("notes"), F.md5(field("$.problem_statement")).alias("problem_md5"), F.regexp_like("j", F.lit('"confidence_notes" : null')).alias("says_null"))
+
+
+# services and state
+
+
+@query("""SELECT event_id, least(event_id % 6, 3) + 1 AS calls, CASE least(event_id % 6, 4) WHEN 0 THEN 0.0::DOUBLE WHEN 1 THEN 1.0 WHEN 2 THEN 3.0 ELSE 7.0 END AS waited, event_id % 6 > 3 AS failed FROM events""")
+def retry_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A client that fails as often as an event's number says, behind retries whose waits are counted, not slept."""
+    import pandas as pd
+
+    def run(frames):
+        for frame in frames:
+            out = []
+            for event in frame["event_id"]:
+                client, waits = FailingFirst(int(event) % 6), []
+                try:
+                    service.Retrying(client, Settings().retry_delays, waits.append).complete("", "")
+                    failed = False
+                except service.ServiceError:
+                    failed = True
+                out.append((event, client.calls, sum(waits, 0.0), failed))
+            yield pd.DataFrame(out, columns=["event_id", "calls", "waited", "failed"])
+
+    return read(spark, sf_dir, "events").select("event_id").mapInPandas(run, "event_id long, calls long, waited double, failed boolean")
+
+
+class FailingFirst:
+    """A client whose first ``n`` calls fail for now."""
+
+    name, max_context_tokens = "failing", 0
+
+    def __init__(self, n: int):
+        self.left, self.calls = n, 0
+
+    def complete(self, system: str, user: str, temperature: float = 0.2) -> str:
+        self.calls += 1
+        self.left -= 1
+        if self.left >= 0:
+            raise service.ServiceError("busy", retryable=True)
+        return "done"
+
+
+@query("WITH t AS (SELECT user_id AS session_id, event_id AS turn_no, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS nth FROM events) SELECT session_id, turn_no FROM t WHERE nth <= 20")
+def history_cap20(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read(spark, sf_dir, "events").select(F.col("user_id").alias("session_id"), F.col("event_id").alias("turn_no"))
+    return dialogue.last_turns(turns, Settings().stored_turns)
+
+
+@query(f"""WITH {UPDATES}, s AS (SELECT *, max(CASE WHEN has_a THEN seq END) OVER w AS at_a, max(CASE WHEN has_b THEN seq END) OVER w AS at_b FROM u WINDOW w AS (PARTITION BY thread_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT s.thread_id, s.seq, x.a, y.b FROM s LEFT JOIN u x ON x.seq = s.at_a LEFT JOIN u y ON y.seq = s.at_b""")
+def state_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state after each update."""
+    return state.merge_updates(made_updates(spark, sf_dir), ["a", "b"])

@@ -15,39 +15,56 @@ def pages_of(spark, texts, paper="p"):
 # chunking
 
 
-def model_of_chunks(text, size, overlap):
-    """An independent greedy packer over strings."""
-    import re
-
-    paragraphs = [p.strip() for p in re.split(r"\n\s*\n", text) if p.strip()]
-    if len(paragraphs) <= 1:
-        paragraphs = [p.strip() for p in text.split("\n") if p.strip()]
-    parts = []
-    for p in paragraphs:
-        for s in [p] if len(p) <= size else [s.strip() for s in re.split(r"(?<=[.!?])\s+", p) if s.strip()]:
-            parts += [s] if len(s) <= size else [s[i : i + size] for i in range(0, len(s), size)]
-    at, places = 0, []
-    for p in parts:
-        at = text.index(p, at)
-        places.append((at, at + len(p)))
-        at += len(p)
-    out, start, end = [], None, None
-    for a, b in places:
-        if start is None:
-            start = end = a
-        if end > start and b - start > size:
-            out.append((start, end))
-            start = max(end - overlap, 0)
-        end = b
-    return out + [(start, end)] if places else []
-
-
-def test_pack_agrees_with_model():
+def random_text(rng):
+    return "".join(rng.choice(["word ", "a", ". ", "\n", "\n\n", "! ", "long" * 9, " \n \n", "é"]) for _ in range(rng.randint(0, 120)))
+
+
+def test_pieces_cover_the_text():
     rng = random.Random(3)
+    bare = lambda t: "".join(t.split())
+    for _ in range(300):
+        text, size = random_text(rng), rng.choice([20, 50, 100])
+        cuts = chunking.pieces(text, size)
+        whole = [text[a:b] for a, b in cuts]
+        assert bare("".join(whole)) == bare(text) and cuts == sorted(cuts)
+        starts, ends = {a for a, _ in cuts}, {b for _, b in cuts}
+        # only cuts of a long sentence, which touch, may begin or end with white space
+        assert all(0 < len(p) <= size and (p == p.strip() or a in ends or b in starts) for p, (a, b) in zip(whole, cuts))
+        # a piece ends at a paragraph's, line's or sentence's end, or is a full cut
+        for p, (_, b) in zip(whole, cuts):
+            rest = text[b:]
+            assert not rest.strip() or rest.startswith(("\n", " ")) or len(p) == size
+
+
+def test_chunks_are_greedy():
+    """Each chunk ends with a piece, as far on as ``size`` allows, and takes one new piece at least; the next one overlaps it."""
+    rng = random.Random(5)
     for _ in range(300):
-        text = "".join(rng.choice(["word ", "a", ". ", "\n", "\n\n", "! ", "long" * 9, " \n \n", "é"]) for _ in range(rng.randint(0, 120)))
-        size = rng.choice([20, 50, 100])
-        assert chunking.pack(text, size, 15) == [s for s in model_of_chunks(text, size, 15) if text[s[0] : s[1]].strip()]
+        text, size, overlap = random_text(rng), rng.choice([20, 50, 100]), rng.choice([0, 15])
+        ends = [b for _, b in chunking.pieces(text, size)]
+        chunks = chunking.pack(text, size, overlap)
+        assert bool(chunks) == bool(ends)
+        if not chunks:
+            continue
+        assert chunks[0][0] == chunking.pieces(text, size)[0][0] and chunks[-1][1] == ends[-1]
+        for (a, b), (c, _) in zip(chunks, chunks[1:]):
+            assert c == max(b - overlap, 0)
+        reached = 0
+        for a, b in chunks:
+            taken = [e for e in ends if reached < e <= b]
+            assert taken and taken[-1] == b
+            assert b - a <= size or len(taken) == 1
+            following = [e for e in ends if e > b]
+            assert not following or following[0] - a > size
+            reached = b
+
+
+def test_pieces_as_expressions(spark):
+    rng = random.Random(7)
+    texts = [random_text(rng) for _ in range(60)] + ["", " \n ", "One. Two! Three?", "x" * 130]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    for r in df.select("t", chunking.atomic_pieces(F.col("t"), 50).alias("p")).collect():
+        assert r.p == [r.t[a:b] for a, b in chunking.pieces(r.t, 50)]
 
 
 def test_chunk_invariants():
@@ -71,10 +88,10 @@ def test_chunk_sections(spark):
 
 
 def test_table_rows_are_no_headings(spark):
-    text = "1 Introduction\nbody\n88.3 Petrov et al. (2006) [29]\n23.75 Deep-Att + PosUnk [39]\n2014 English data\n1.05 Zeros\n6 Results\n91.7 Transformer (4 layers)\nmore\n7 Conclusion\nend"
+    text = "2 Survey Of Rivers\nthey flow\n64.1 Okafor et al. say so\n3.1 Water Levels\n12.5 Gauge (1987b)\n1999 Was Dry\n4.07 Padded Row\n5 Lakes [12]\n3.2 Flow Rates\n44.9 Basin Three\nmore\n20 Last Words\nend"
     out = sections.detect_sections(pages_of(spark, [text])).orderBy("section_pos").collect()
-    assert [r.title for r in out] == ["1 Introduction", "6 Results", "7 Conclusion"]
-    assert out[2].text == "end"
+    assert [r.title for r in out] == ["2 Survey Of Rivers", "3.1 Water Levels", "3.2 Flow Rates", "20 Last Words"]
+    assert out[0].text.startswith("they flow\n64.1") and [r.level for r in out] == [1, 2, 2, 1] and out[3].text == "end"
 
 
 def test_sections_fall_back_and_keep_pages(spark):
@@ -125,8 +142,21 @@ def test_truncate_pages(spark):
 
 def test_merge_is_greedy(spark):
     rows = [("p", 0, pos, t, 1, prio) for pos, t, prio in [(0, "a", 0), (2, "b", 1), (4, "c", 1), (4, "d", 2), (6, "e", 0), (7, "f", 0)]]
-    out = sections.merge_candidates(spark.createDataFrame(rows, "paper_id string, page_no int, pos long, title string, level int, priority int"))
+    shape = "paper_id string, page_no int, pos long, title string, level int, priority int"
+    out = sections.merge_candidates(spark.createDataFrame(rows, shape))
     assert [r.title for r in out.orderBy("pos").collect()] == ["a", "c", "f"]
+    rng = random.Random(9)
+    places = [(f"p{k}", 0, pos, f"t{pos}-{prio}", 1, prio) for k in range(20) for pos, prio in {(rng.randrange(60), rng.randrange(3)) for _ in range(30)}]
+    got = {}
+    for r in sections.merge_candidates(spark.createDataFrame(places, shape)).collect():
+        got.setdefault(r.paper_id, set()).add((r.pos, r.title))
+    for paper in got:
+        last, want = -9, set()
+        for _, _, pos, title, _, prio in sorted((x for x in places if x[0] == paper), key=lambda x: (x[2], x[5])):
+            if pos - last >= 3:
+                want.add((pos, title))
+                last = pos
+        assert got[paper] == want
 
 
 # layout
@@ -156,6 +186,39 @@ def test_search(spark):
     assert vectors.search(v, [], 2).count() == 0
 
 
+def test_search_against_all_pairs(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(11)
+    x = np.round(rng.normal(size=(700, 4)), 1).astype(np.float32)  # coarse, so that scores tie
+    x[:90] = x[0]
+    rows = [(i, [float(a) for a in v], i % 3) for i, v in enumerate(x)]
+    v = spark.createDataFrame(rows, "id long, embedding array<float>, part long").repartition(5)
+    asked = [(i, rows[i][1], rows[i][2]) for i in (0, 7, 300)]
+    wide = x.astype(np.float64)
+    unit = wide / np.linalg.norm(wide, axis=1, keepdims=True)
+    table = spark.createDataFrame(asked, "q long, v array<double>, part long")
+    for k in (1, 5, 800):
+        for own in (False, True):
+            want = {}
+            for q, _, part in asked:
+                scored = sorted((-round(float(unit[i] @ unit[q]), 6), i) for i in range(700) if not own or i % 3 == part)
+                want[q] = [i for _, i in scored[:k]]
+            for queries in (asked, table):
+                got = {}
+                for r in vectors.search(v, queries, k, id_col="id", collection_col="part" if own else None).orderBy("rank").collect():
+                    got.setdefault(r.query_id, []).append(r.id)
+                assert got == want
+    small = vectors.QUERY_BYTES
+    try:
+        vectors.QUERY_BYTES = 40  # a block a query or two
+        assert vectors.search(v, asked, 3, id_col="id").count() == 9
+    finally:
+        vectors.QUERY_BYTES = small
+    joined = vectors.search_own(v, table.select(F.col("q").alias("query_id"), F.col("v").alias("vector"), "part"), 5, collection_col="part", id_col="id")
+    assert {r.id for r in joined.where("query_id = 7").collect()} == set(sorted((i for i in range(700) if i % 3 == 1), key=lambda i: (-round(float(unit[i] @ unit[7]), 6), i))[:5])
+
+
 def test_floor_dedupe_and_order(spark):
     rows = [("q", 5, 0.9, 1, "same  TEXT"), ("q", 2, 0.8, 2, "same text"), ("q", 1, 0.7, 3, "other"), ("q", 0, 0.2, 4, "low")]
     h = spark.createDataFrame(rows, "query_id string, chunk_index int, score double, rank int, text string")
@@ -178,6 +241,38 @@ def test_embed_and_collections(spark):
     assert abs(sum(x * x for x in a) - 1) < 1e-6 and sum(map(abs, b)) == 0
     assert vectors.stale_collections(df, df.limit(1)).count() == 1 and vectors.stale_collections(df, df).count() == 0
     assert vectors.upsert(df, df.limit(1)).count() == 1
+    with pytest.raises(Exception, match="without a vector"):
+        vectors.upsert(df, df.withColumn("embedding", F.lit(None).cast("array<float>"))).collect()
+
+
+def test_embedders_that_fail(spark, tmp_path):
+    from corpuslake.operators.service import EmbeddingError
+
+    def picky(texts):
+        if any("bad" in t for t in texts):
+            raise ValueError("no")
+        return [[3.0, 4.0] for _ in texts]
+
+    df = spark.createDataFrame([("p", "fine"), ("q", "bad")], "paper_id string, text string").repartition(2, "paper_id")
+    out = {r.paper_id: (r.embedding, r.error) for r in vectors.embed(df, embed_fn=picky, batch=1, error_col="error").collect()}
+    assert [round(x, 6) for x in out["p"][0]] == [0.6, 0.8] and out["p"][1] is None and out["q"][0] is None and "no" in out["q"][1]
+    with pytest.raises(Exception, match="EmbeddingError"):
+        vectors.embed(df, embed_fn=picky).collect()
+    with pytest.raises(EmbeddingError):
+        vectors._unit([], 1)
+    marks = tmp_path / "loads"
+
+    def load():
+        with open(marks, "a") as f:
+            f.write("x")
+        return lambda texts: [[1.0] for _ in texts]
+
+    vectors.embed(spark.createDataFrame([(str(i),) for i in range(50)], "text string").coalesce(1), embed_fn=vectors.LazyModel("test", load), batch=3).collect()
+    assert marks.read_text() == "x"
+    folder = str(tmp_path / "vectors")
+    vectors.write_collections(spark.createDataFrame([("p", 1, [1.0]), ("q", 1, [1.0])], "paper_id string, n int, embedding array<double>"), folder)
+    vectors.write_collections(spark.createDataFrame([("q", 2, [1.0])], "paper_id string, n int, embedding array<double>"), folder)
+    assert sorted((r.paper_id, r.n) for r in spark.read.parquet(folder).collect()) == [("p", 1), ("q", 2)]
 
 
 # dialogue, briefing
@@ -282,7 +377,7 @@ def test_map_results_and_lookup(spark):
     r = papers.first()
     assert (r.paper_id, r.title, r.abstract, str(r.published), r.updated, r.doi) == ("2301.12345", "A Great Paper on Something", "s t", "2023-01-02", None, None)
     found = {r.paper_id: (r.paper is not None, r.error) for r in tables.lookup(papers, spark.createDataFrame([("2301.12345",), ("0",)], "paper_id string")).collect()}
-    assert found["2301.12345"] == (True, None) and "'0'" in found["0"][1]
+    assert found["2301.12345"] == (True, None) and found["0"][1] == "No paper has the ID 0."
 
 
 def test_files(spark, tmp_path):
@@ -291,9 +386,14 @@ def test_files(spark, tmp_path):
     (tmp_path / "c.txt").write_bytes(b"%PDF")
     got = {r.path.rsplit("/", 1)[1]: r.valid for r in tables.landed_files(spark, str(tmp_path)).collect()}
     assert got == {"a.pdf": True, "b.pdf": False}
+    large = {r.path.rsplit("/", 1)[1]: (r.content, r.error) for r in tables.landed_files(spark, str(tmp_path), Settings(max_file_mb=0)).collect()}
+    assert all(c is None and "larger" in e for c, e in large.values()) and len(large) == 2
     assert tables.folder_sizes(spark, str(tmp_path)).first()["bytes"] == 20
     out = str(tmp_path / "out")
-    tables.save_briefings(spark.createDataFrame([("cs/1", "# T", "{}")], "paper_id string, markdown string, json string"), out)
+    made = spark.createDataFrame([("cs/1", "# T", "{}")], "paper_id string, markdown string, json string")
+    tables.save_briefings(made, str(tmp_path / "table"))
+    assert spark.read.parquet(str(tmp_path / "table")).first().paper_id == "cs/1"
+    tables.export_briefings(made, out)
     assert spark.read.text(out + "/markdown").first()["value"] == "# T"
     assert tables.evict(spark, out, "markdown/paper=cs_1") and tables.evict(spark, out) and not tables.evict(spark, out)
     ck = str(tmp_path / "ck")
@@ -302,6 +402,65 @@ def test_files(spark, tmp_path):
     assert state.restore(spark.read.parquet(ck)).first()["a"] == "v2"
 
 
+def test_fetched_files(spark):
+    def get(url):
+        if url == "down":
+            raise OSError("no route")
+        yield {"good": b"%PDF", "html": b"<htm", "large": b"%PDF"}[url]
+        for _ in range(40 if url == "large" else 1):
+            yield b"x" * (1 << 16)
+
+    papers = spark.createDataFrame([(u, u) for u in ("good", "html", "large", "down", "had")], "paper_id string, pdf_url string")
+    landed = spark.createDataFrame([("had",)], "paper_id string")
+    out = {r.paper_id: r for r in tables.fetch_files(papers, landed, get, Settings(max_file_mb=1)).collect()}
+    assert set(out) == {"good", "html", "large", "down"} and len(out["good"].content) == 4 + (1 << 16) and out["good"].error is None
+    assert "PDF" in out["html"].error and "larger" in out["large"].error and "no route" in out["down"].error and out["large"].content is None
+
+
+def test_phrases(spark):
+    texts = spark.createDataFrame([("a", "aaaa bb a"), ("b", ""), ("c", None), ("d", "éa bb")], "paper_id string, text string")
+    phrases = spark.createDataFrame([("aa",), ("a",), ("bb",), ("",), ("zz",), ("aa",)], "phrase string")
+    got = {(r.paper_id, r.phrase): r.n for r in tables.find_phrases(texts, phrases).collect()}
+    assert got == {("a", "aa"): 2, ("a", "a"): 5, ("a", "bb"): 1, ("d", "a"): 1, ("d", "bb"): 1}
+    papers = spark.createDataFrame([(i, "Title", f"word{i % 7} and word{i % 3}") for i in range(50)], "paper_id long, title string, abstract string")
+    many = spark.createDataFrame([(q, [f"word{q % 7}", "title"]) for q in range(12_000)], "query_id long, terms array<string>")
+    found = tables.search_catalogue(papers, many, 3)
+    assert found.count() == 36_000
+    small, tables.PHRASE_CHARS = tables.PHRASE_CHARS, 1
+    try:
+        assert tables.search_catalogue(papers, many.limit(10), 3).count() == 30
+    finally:
+        tables.PHRASE_CHARS = small
+
+
+def test_client_chain():
+    now, slept = [0.0], []
+
+    def sleep(s):
+        slept.append(s)
+        now[0] += s
+
+    class Echo:
+        name, max_context_tokens = "echo", 10
+
+        def complete(self, system, user, temperature=0.2):
+            return user
+
+    limited = service.Limited(Echo(), 5, lambda: now[0], sleep)
+    assert [limited.complete("", str(i)) for i in range(7)] == list("0123456") and slept == [12.0, 12.0]
+    assert service.build_client(None).name == "none"
+    chain = service.build_client(Echo)
+    assert (chain.name, chain.max_context_tokens, type(chain.client).__name__) == ("echo", 10, "Limited")
+
+
+def test_bucket_over_a_table(spark):
+    rows = [(k, i, float(t)) for k in range(3) for i, t in enumerate([0, 0, 0, 1, 1, 2, 2, 50, 50])] + [(9, 0, 5.0)]
+    out = service.token_bucket(spark.createDataFrame(rows, "key long, seq long, t double").repartition(4), 5).collect()
+    for k in {r[0] for r in rows}:
+        want = service.replay_bucket([t for key, _, t in rows if key == k], 5)
+        assert [(r.wait, r.tokens) for r in sorted(out, key=lambda r: r.seq) if r.key == k] == want
+
+
 def test_settings(monkeypatch):
     monkeypatch.setenv("CORPUSLAKE_TOP_K", "7")
     assert Settings.from_env().top_k == 7 and Settings().budget_chars(None) == 16000 and Settings().budget_chars(100) == 4000
