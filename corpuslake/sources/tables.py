@@ -8,13 +8,13 @@ from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import Settings, steady_unions
 from ..functions.text import collapse, file_name, paper_id, some
-from ..operators.service import DownloadError
+from ..operators.service import DownloadError, PaperNotFound
 
 PAPER = T.StructType([
     T.StructField("paper_id", T.StringType()), T.StructField("title", T.StringType()), T.StructField("authors", T.ArrayType(T.StringType())),
@@ -46,6 +46,14 @@ def lookup(papers: DataFrame, requests: DataFrame) -> DataFrame:
     return requests.join(found, "paper_id", "left").withColumn("error", F.when(F.col("paper").isNull(), missing))
 
 
+def find(papers: DataFrame, paper: str) -> Row:
+    """One paper of the catalogue; PaperNotFound if no paper has the id."""
+    found = papers.where(F.col("paper_id") == paper).limit(1).collect()
+    if not found:
+        raise PaperNotFound(f"no paper {paper}", user_message=f"No paper has the ID {paper}.")
+    return found[0]
+
+
 def file_error(length: Column, content: Column, settings: Settings = Settings()) -> Column:
     """Why bytes aren't a paper's file; null if they are."""
     return F.when(length > settings.max_file_mb << 20, F.lit(f"The file is larger than {settings.max_file_mb} MB.")).when(F.coalesce(F.substring(content, 1, 4) != F.lit(b"%PDF"), F.lit(True)), "The file isn't a PDF.")

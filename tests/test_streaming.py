@@ -28,3 +28,19 @@ def test_streams_agree_with_batches(spark, tmp_path):
     turns.coalesce(1).write.parquet(str(tmp_path / "turns"))
     got = run(streams.stream_last_turns(spark.readStream.schema(turns.schema).parquet(str(tmp_path / "turns")), 20), "last", "update", spark, tmp_path)
     assert sorted(r.turn_no for r in got.collect()) == list(range(10, 30))
+
+
+def test_stream_index_replaces_papers(spark, tmp_path):
+    shape = "paper_id string, section_pos int, title string, text string"
+    first = spark.createDataFrame([("p", 0, "A", "words of the first version " * 80), ("q", 0, "B", "words of another paper " * 10)], shape)
+    first.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(first.schema).parquet(str(tmp_path / "in"))
+    folder = str(tmp_path / "vectors")
+    streams.stream_index(stream, folder, str(tmp_path / "ck"), availableNow=True).awaitTermination()
+    before = {r.paper_id: r["count"] for r in spark.read.parquet(folder).groupBy("paper_id").count().collect()}
+    assert before["p"] > 1 and before["q"] == 1
+    spark.createDataFrame([("p", 0, "A", "a shorter version of the paper, with enough words to be a chunk")], shape).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    streams.stream_index(stream, folder, str(tmp_path / "ck"), availableNow=True).awaitTermination()
+    after = spark.read.parquet(folder)
+    assert {r.paper_id: r["count"] for r in after.groupBy("paper_id").count().collect()} == {"p": 1, "q": 1}
+    assert "shorter" in after.where("paper_id = 'p'").first().text
