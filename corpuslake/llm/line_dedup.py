@@ -5,7 +5,9 @@ hashes over the threshold are dropped except in the keeping document; the rest i
 together again by position.
 
 Only hashes travel through the counting shuffles.  The text itself is shuffled once,
-when the list of dropped positions comes back to its document.
+when the list of dropped positions comes back to its document.  Hashes that make up a
+noticeable share of all lines, which can't be many, are broadcast, so that no task gets all
+the places of one very common line.
 """
 
 from __future__ import annotations
@@ -16,6 +18,10 @@ from pyspark.sql import functions as F
 from .common import WS, ascii_lower, spool, text_of
 
 
+#: A hash is heavy from one in so many of all long lines on, so there are at most so many of them.
+HEAVY = 10_000
+
+
 def line_key(line: Column) -> Column:
     """White space stripped at both ends, A-Z lower-cased."""
     return ascii_lower(F.btrim(line, F.lit(WS)))
@@ -40,9 +46,14 @@ def line_dedup(docs: DataFrame, *, min_chars: int = 40, min_docs: int = 5, id_co
 
     per_doc = hashed.groupBy("_cl_hash", "_cl_id").agg(F.lit(1).alias("_cl_one"))
     common = per_doc.groupBy("_cl_hash").agg(F.count("*").alias("_cl_docs"), F.max("_cl_id").alias("_cl_keep")).where(F.col("_cl_docs") >= min_docs)
+    common = spool(common, "common-lines")
+    # documents with a heavy hash have one line of it at least, so HEAVY bounds their number too
+    often = F.col("_cl_docs") * HEAVY > F.lit(hashed.count())
+    heavy = F.broadcast(common.where(often).select("_cl_hash", "_cl_keep"))
+    rest = common.where(~often).select("_cl_hash", "_cl_keep")
+    marked = hashed.join(heavy, "_cl_hash").unionByName(hashed.join(heavy, "_cl_hash", "left_anti").join(rest, "_cl_hash"))
     drops = (
-        hashed.join(common.select("_cl_hash", "_cl_keep"), "_cl_hash")
-        .where(~F.col("_cl_id").eqNullSafe(F.col("_cl_keep")))
+        marked.where(~F.col("_cl_id").eqNullSafe(F.col("_cl_keep")))
         .groupBy("_cl_id", "_cl_row")
         .agg(F.collect_set("_cl_pos").alias("_cl_drop"))
         .select(F.col("_cl_id").alias("_cl_drop_id"), F.col("_cl_row").alias("_cl_drop_row"), "_cl_drop")
