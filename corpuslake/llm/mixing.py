@@ -4,19 +4,24 @@ Efraimidis-Spirakis sampling: each document draws an exponential key scaled by i
 quality weight; within a source, documents are taken in the order of their keys until
 their sizes fill the token budget.  Complete epochs come before the fractional selection.
 
-The prefix sums within a source never run in one task: keys fall into ``BUCKETS`` fixed
-ranges, sums are taken per (source, range), and only running sums within one range
-order single documents.
+The prefix sums within a source don't run in one task: keys fall into ranges of equal ratio,
+sums are taken per (source, range), and only running sums within one range order single
+documents.  A key is exponential with the rate of its own document's weight, so whatever the
+weights, a range from k to k * (1 + r) is expected to hold r / e of a source's documents at
+most; ranges and documents in a range both grow with the root of the table.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WS, spool, text_of
 
-BUCKETS = 65536
+#: Ranges in each doubling of the key: the root of the number of rows over this, one at least.
+ROOT_SHARE = 4
 WEIGHTS = (5, 2, 1)
 
 
@@ -57,20 +62,25 @@ def source_targets(sizes: DataFrame, *, weights: tuple[int, ...], share: float,
 
 
 def mix_plan(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, epochs: int = 2, seed: str = "mix", quality: Column | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row a document: _cl_id, _cl_row (hash of id and text), _cl_size, _cl_source_size, _cl_target, _cl_taken.
+    """One row a document: _cl_id, _cl_row (hash of id and text), _cl_size, _cl_source_size, _cl_target, _cl_copies.
 
     Keys come from id and text alone, so reruns agree.  Rows that are equal in id and text
-    get equal keys; which of them the budget ends at doesn't show.
+    get equal keys; which of them the budget ends at doesn't show.  A given quality is taken
+    between 0.001 and a million, a null or NaN one as the least.  Null texts have size 0, null
+    sources are one source, an empty table gives an empty plan.
     """
     text = text_of(text_col)
     drawn = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.md5(text)))
     base = docs.select(F.col(id_col).alias("_cl_id"), F.col(source_col).alias("_cl_source"), text.alias("_cl_text"), n_words(text).alias("_cl_size"), drawn.alias("_cl_row"), *([quality.cast("double").alias("_cl_given")] if quality is not None else []))
     uniform = (F.conv(F.substring("_cl_row", 1, 13), 16, 10).cast("double") + 0.5) / float(2**52)
-    weight = F.greatest(F.coalesce(F.col("_cl_given"), F.lit(1e-3)), F.lit(1e-3)) if quality is not None else mean_word_quality(F.col("_cl_text"), F.col("_cl_size"))
-    keyed = base.select("_cl_id", "_cl_source", "_cl_row", "_cl_size", (-F.log(uniform) / weight).alias("_cl_key"))
-    keyed = spool(keyed.withColumn("_cl_bucket", F.floor((1.0 - F.exp(-F.col("_cl_key"))) * BUCKETS).cast("int")), "mix")
-
-    # the histogram is small: at most BUCKETS rows a source; all further sums read it
+    given = F.when(F.isnan("_cl_given"), None).otherwise(F.col("_cl_given")) if quality is not None else None
+    weight = F.least(F.greatest(F.coalesce(given, F.lit(1e-3)), F.lit(1e-3)), F.lit(1e6)) if quality is not None else mean_word_quality(F.col("_cl_text"), F.col("_cl_size"))
+    keyed = spool(base.select("_cl_id", "_cl_source", "_cl_row", "_cl_size", (-F.log(uniform) / weight).alias("_cl_key")), "mix")
+    # the cut of the ranges doesn't change the sums, only how many rows a range holds
+    parts = max(1, int(math.sqrt(keyed.count()) / ROOT_SHARE))
+    keyed = keyed.withColumn("_cl_bucket", F.floor(F.log2("_cl_key") * parts).cast("long"))
+
+    # the histogram grows with the root of the table; all further sums read it
     buckets = spool(keyed.groupBy("_cl_source", "_cl_bucket").agg(F.sum("_cl_size").alias("_cl_sum")), "mix-buckets")
     targets = source_targets(buckets.groupBy("_cl_source").agg(F.sum("_cl_sum").alias("_cl_source_size")), weights=weights, share=share, epochs=epochs)
     before = Window.partitionBy("_cl_source").orderBy("_cl_bucket").rowsBetween(Window.unboundedPreceding, -1)
