@@ -18,11 +18,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, text_of
+from .common import small_batches, spool, text_of
 
 LEAST, USUAL, MOST = 8, 32, 128
 #: High bits of the 16-bit gear hash that must be zero: before the usual size, and after it.
 STRICT, LOOSE = np.uint16(0xF800), np.uint16(0xE000)
+#: Bytes of a range of documents, unless there are more than 10,000 ranges, and ranges weighed for each.
+RANGE_BYTES, FINE = 64 << 20, 8
 #: Bytes hashed at a time; bounds the memory for long texts.
 BLOCK = 1 << 20
 
@@ -127,25 +129,59 @@ def fingerprint(docs: DataFrame, *, text_col: str = "text", out_col: str = "fing
     return kept.mapInArrow(run, f"{fields}, `{out_col}` string")
 
 
-def _ranges(ids: DataFrame, n: int) -> list:
-    """Up to ``n`` existing ids that cut the ids into ranges of about equal size, and the least id first."""
-    cuts = ids.where(F.col("_cl_id").isNotNull()).agg(F.min("_cl_id"), F.percentile_approx("_cl_id", [(i + 1) / n for i in range(n - 1)] or [0.5], 10_000)).first()
-    return [] if cuts[0] is None else sorted({cuts[0], *cuts[1]})
+def _cuts(sizes: DataFrame, n: int) -> tuple[list, bool]:
+    """The least id, ids that cut the rows of ``sizes`` (_cl_id, size) into about ``n`` ranges of like size, and whether there are null ids.
+
+    Quantiles of the ids make FINE times as many ranges; they are weighed, those of over a share
+    are cut by quantiles of their own, and in the end neighbours are joined up to a share.
+    The driver holds the ranges' edges and sizes, whose number is bounded by ``n``.
+    """
+    known = sizes.where(F.col("_cl_id").isNotNull())
+    quantiles = [(i + 1) / (n * FINE) for i in range(n * FINE - 1)] or [0.5]
+    least, found, nulls, total = sizes.agg(F.min("_cl_id"), F.percentile_approx("_cl_id", quantiles, 10_000), F.count_if(F.col("_cl_id").isNull()), F.sum("size")).first()
+    if least is None:
+        return [], bool(nulls)
+    edges = np.array(sorted(set(found)), np.int64)
+    for last in (False, False, False, True):
+
+        @F.pandas_udf("int")
+        def fine(ids, edges=edges):
+            return type(ids)(np.searchsorted(edges, ids.to_numpy(), side="right"))
+
+        ranged = known.withColumn("r", fine("_cl_id"))
+        weights = np.zeros(len(edges) + 1)
+        for row in ranged.groupBy("r").agg(F.sum("size").alias("s")).collect():
+            weights[row["r"]] = row["s"]
+        heavy = np.flatnonzero(weights > total / n).tolist()
+        if last or not heavy:
+            break
+        parts = [(i + 1) / 16 for i in range(15)]
+        more = ranged.where(F.col("r").isin(heavy)).groupBy("r").agg(F.percentile_approx("_cl_id", parts, 1000).alias("q")).collect()
+        new = np.union1d(edges, np.array([i for row in more for i in row["q"] if i > least], np.int64))
+        if len(new) == len(edges):
+            break
+        edges = new
+    share = (np.cumsum(weights) - weights) * n // max(weights.sum(), 1)
+    return [least, *edges[np.flatnonzero(np.diff(share) > 0)].tolist()], bool(nulls)
 
 
 def with_next(docs: DataFrame, work, shape: str, *, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None) -> DataFrame:
     """Run ``work`` (an iterator of (id, text, next text) -> rows) over the documents in ascending id; after the last comes the first.
 
-    The documents are dealt into ranges of ids once.  The first document of each range is
-    also dealt to the range before, as its look-ahead; no window over all rows is needed.
+    The documents are dealt once into ranges of ids that are of like size in bytes, a range a
+    task.  The first document of each range is also dealt to the range before, as its
+    look-ahead; no window over all rows is needed.
     Ids may be null (first in order) or repeated (then in the order of their texts).
     """
     small_batches(docs)
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("_cl_id"), text_of(text_col).alias("_cl_text"))
-    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism) * 2
-    cuts = _ranges(base.select("_cl_id"), min(n, 10_000))
-    has_null = bool(base.where(F.col("_cl_id").isNull()).select(F.lit(1)).limit(1).count()) if cuts else True
+    sizes = spool(base.select("_cl_id", (F.octet_length("_cl_text") + 64).cast("long").alias("size")), "sizes")
+    if partitions is None:
+        total = sizes.agg(F.sum("size")).first()[0] or 0
+        partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism, total // RANGE_BYTES)
+    cuts, has_null = _cuts(sizes, min(partitions, 10_000))
+    has_null = has_null or not cuts
     # range r holds ids from cuts[r - 1] up to cuts[r]; nulls stand before the least id
     edges = np.array(cuts[0 if has_null else 1 :], np.int64)
 
@@ -162,7 +198,7 @@ def with_next(docs: DataFrame, work, shape: str, *, id_col: str = "doc_id", text
 
     dealt = base.select("_cl_id", "_cl_text", F.explode(ranges_of(F.coalesce("_cl_id", F.lit(0)), F.col("_cl_id").isNull())).alias("_cl_r"))
     dealt = dealt.withColumn("_cl_ahead", F.col("_cl_r") < 0).withColumn("_cl_range", F.when(F.col("_cl_r") < 0, F.col("_cl_r") + FLAG).otherwise(F.col("_cl_r"))).drop("_cl_r")
-    ordered = dealt.repartition(n, "_cl_range").sortWithinPartitions("_cl_range", "_cl_ahead", F.col("_cl_id").asc_nulls_first(), "_cl_text")
+    ordered = dealt.repartitionById(len(edges) + 1, F.col("_cl_range")).sortWithinPartitions("_cl_range", "_cl_ahead", F.col("_cl_id").asc_nulls_first(), "_cl_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def neighbours():
