@@ -99,7 +99,7 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = archive_round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
-    # a record whose stored bytes don't have the named digest fails the job
+    # a rebuilt record whose bytes aren't what its header says fails the job
     whole = F.when(F.col("verified"), F.col("digest")).otherwise(F.raise_error(F.concat(F.lit("archive record differs: "), F.col("page_id").cast("string"))))
     return out.select("page_id", "payload_bytes", whole.alias("payload_digest"), "record_type", "refers_to")
 
@@ -115,7 +115,7 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = toxicity.fit(*toxicity.training_rows(docs, table(spark, sf_dir, "labels")))
+    model = toxicity.trained(docs, table(spark, sf_dir, "labels"))
     held_out = F.crc32(F.col("_cl_id").cast("string").cast("binary")) % 3 == 1
     predicted = F.when(F.col("score") >= toxicity.THRESHOLD, 1).otherwise(0)
     return toxicity.score(docs, model).select(F.col("_cl_id").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", predicted.alias("predicted"))
