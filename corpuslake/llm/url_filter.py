@@ -3,8 +3,8 @@
 Listed entries are canonical URLs (host, path).  A URL stands for several candidates: its
 host and each parent domain, with each prefix of its path that is as long as some listed
 path.  The filter passes candidates that may be listed; a hash join with the list removes
-the false positives.  The filter has a fixed size, so what is broadcast doesn't grow with
-the list; a longer list only passes more candidates to the join.
+the false positives.  The filter's size follows from the number of entries, up to MAX_BLOCKS;
+what is broadcast never grows beyond that, a longer list only passes more candidates to the join.
 """
 
 from __future__ import annotations
@@ -19,9 +19,10 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower
 
-#: Bytes of the filter: blocks of 256 bits, eight 32-bit words, one bit set in each.
-FILTER_BYTES = 1 << 20
-BLOCKS = FILTER_BYTES // 32
+#: The filter has blocks of 256 bits, eight 32-bit words, one bit set in each; 16 entries a block at most, up to 64 MB.
+MIN_BLOCKS, MAX_BLOCKS, PER_BLOCK = 1 << 10, 1 << 21, 16
+#: Lists up to this size are broadcast for the exact join, so that no entry's pages meet in one task.
+BROADCAST_BYTES = 8 << 20
 #: Odd multipliers of the eight words, by a rule: splitmix64's increment times 2k + 1.
 SALTS = np.array([(0x9E3779B97F4A7C15 * (2 * k + 1)) >> 16 & 0xFFFFFFFF | 1 for k in range(8)], np.uint32)
 
@@ -36,9 +37,14 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
 
 
-def _bits(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def blocks_for(entries: int) -> int:
+    """Blocks of a filter of so many entries."""
+    return min(MAX_BLOCKS, max(MIN_BLOCKS, 1 << (max(entries, 1) // PER_BLOCK).bit_length()))
+
+
+def _bits(hashes: np.ndarray, n_blocks: int) -> tuple[np.ndarray, np.ndarray]:
     """The block of each hash and its eight bits, a row of words a hash."""
-    blocks = ((hashes >> np.uint64(32)) * np.uint64(BLOCKS) >> np.uint64(32)).astype(np.int64)
+    blocks = ((hashes >> np.uint64(32)) * np.uint64(n_blocks) >> np.uint64(32)).astype(np.int64)
     low = (hashes & np.uint64(0xFFFFFFFF)).astype(np.uint32)
     return blocks, np.uint32(1) << ((low[:, None] * SALTS[None, :]) >> np.uint32(27))
 
@@ -49,29 +55,32 @@ def _hashes(keys: list[str]) -> np.ndarray:
 
 def in_filter(words: np.ndarray, keys: list[str]) -> np.ndarray:
     """Which of the keys the filter passes."""
-    blocks, bits = _bits(_hashes(keys))
+    blocks, bits = _bits(_hashes(keys), len(words))
     return ((words[blocks] & bits) == bits).all(axis=1)
 
 
-def build_filter(rules: DataFrame) -> np.ndarray:
-    """The filter of ``rules``' keys, BLOCKS x 8 words.
+def build_filter(rules: DataFrame, entries: int | None = None) -> np.ndarray:
+    """The filter of ``rules``' keys, a row of eight words a block; ``entries`` is their number, if it is known.
 
-    Each task builds one filter of its own, and the filters are joined by OR; a tree keeps the
-    driver from holding more than a few at once.
+    Each task builds a filter of its own, and the filters are joined by OR, block by block, in
+    a shuffle; the driver gets the joined one, of MAX_BLOCKS rows at most.
     """
+    size = blocks_for(rules.count() if entries is None else entries)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = np.zeros((BLOCKS, 8), np.uint32)
+        words = np.zeros((size, 8), np.uint32)
         for batch in batches:
-            blocks, bits = _bits(_hashes(batch.column("key").to_pylist()))
+            blocks, bits = _bits(_hashes(batch.column("key").to_pylist()), size)
             np.bitwise_or.at(words, blocks, bits)
         full = np.flatnonzero(words.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(words[full].tolist(), pa.list_(pa.int64()))], ["block", "words"])
+        for at in range(0, len(full), 1 << 16):
+            part = full[at : at + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(words[part].tolist(), pa.list_(pa.int64()))], ["block", "words"])
 
     parts = rules.select("key").mapInArrow(run, "block long, words array<long>")
     merged = parts.groupBy("block").agg(*[F.bit_or(F.col("words")[i]).alias(f"w{i}") for i in range(8)])
-    words = np.zeros((BLOCKS, 8), np.uint32)
-    for row in merged.toLocalIterator():  # at most BLOCKS rows, a fixed number
+    words = np.zeros((size, 8), np.uint32)
+    for row in merged.toLocalIterator():
         words[row["block"]] = row[1:]
     return words
 
@@ -100,7 +109,8 @@ def judge(pages: DataFrame, rules: DataFrame, *, default: str = "allow", url_col
     # distinct lengths and depths are few, whatever the list's size: both are bounded by the longest entry
     lengths = [r[0] for r in rules.select(F.length(F.coalesce("path", F.lit(""))).alias("n")).distinct().collect()]
     depths = {r[0] for r in rules.select((F.size(F.split(F.coalesce("host", F.lit("")), r"\.")) - 1).alias("n")).distinct().collect()}
-    bloom = spark.sparkContext.broadcast(build_filter(listed))
+    size = listed.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("key") + F.length("rule") + 32), F.lit(0)).alias("bytes"), F.coalesce(F.max(F.col("host_length") == 0), F.lit(False)).alias("bare")).first()
+    bloom = spark.sparkContext.broadcast(build_filter(listed, size["n"]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = bloom.value
@@ -126,6 +136,10 @@ def judge(pages: DataFrame, rules: DataFrame, *, default: str = "allow", url_col
     looked = placed.select("host", "path").distinct()
     hits = looked.mapInArrow(run, "host string, path string, key string")
     best = F.max_by(F.struct("rule", "action"), F.struct(F.length("rule"), "host_length"))
-    won = hits.join(listed, "key").groupBy("host", "path").agg(best.alias("won")).select(F.col("host").alias("_cl_host"), F.col("path").alias("_cl_path"), "won")
-    out = placed.join(won, (F.col("host") == F.col("_cl_host")) & (F.col("path") == F.col("_cl_path")), "left")
+    exact = F.broadcast(listed) if size["bytes"] <= BROADCAST_BYTES else listed
+    place = F.concat("host", F.lit("\n"), "path")
+    won = hits.join(exact, "key").groupBy("host", "path").agg(best.alias("won")).select(place.alias("_cl_place"), "won")
+    # pages without a host can't be listed unless an entry has none either; each looks for something of its own
+    own = place if size["bare"] else F.when(F.col("host") != "", place).otherwise(F.concat(F.lit("\n\n"), F.monotonically_increasing_id().cast("string")))
+    out = placed.withColumn("_cl_own", own).join(won, F.col("_cl_own") == F.col("_cl_place"), "left")
     return out.select(*kept, "host", "path", F.col("won.rule").alias("rule"), F.coalesce("won.action", F.lit(default)).alias("verdict"))
