@@ -5,7 +5,7 @@ training fold: a word, or the beginning of a word, that stands in many different
 toxic documents and in hardly any others marks its tokens there.  Counting contexts instead
 of documents keeps the words of a much copied toxic document from looking toxic themselves.
 
-The model is fitted on the driver from a bounded sample (``max_docs`` labelled rows of each
+The model is fitted in one task from a bounded sample (``max_docs`` labelled rows of each
 class, ``max_pieces`` pieces of sentences); every document is scored, whole.
 """
 
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import crf
-from .common import small_batches, text_of
+from .common import fit_on_worker, small_batches, text_of
 
 WORD = re.compile(r"[^\W_]+")
 PREFIXES = (4, 5, 6)
@@ -187,14 +187,13 @@ def fit(texts: list[str], toxic: list[int], *, max_pieces: int = 5000) -> Model:
     chosen = [x for own in pieces for x in own[:: max(1, -(-len(own) // half))]]
     size = len(features)
     rows, tags, lengths = [], [], []
+    edge = np.full((1, 2), REST, np.int32)
     for words, own in chosen:
-        ids = [[features.get(k, REST) if k else REST for k in keys_of(w)] for w in words]
-        edge = [REST, REST]
-        for i, row in enumerate(ids):
-            rows.append(row + [size + j for j in (ids[i - 1][:2] if i else edge)] + [2 * size + j for j in (ids[i + 1][:2] if i + 1 < len(ids) else edge)])
+        ids = np.array([[features.get(k, REST) if k else REST for k in keys_of(w)] for w in words], np.int32)
+        rows.append(np.hstack([ids, size + np.vstack([edge, ids[:-1, :2]]), 2 * size + np.vstack([ids[1:, :2], edge])]))
         tags += own
         lengths.append(len(words))
-    weights, trans, begin = crf.train(np.array(rows, np.int64), np.array(tags, np.int64), np.array(lengths), 3 * size, 2)
+    weights, trans, begin = crf.train(np.concatenate(rows), np.array(tags, np.int64), np.array(lengths), 3 * size, 2)
     # the edge of a sequence has no neighbour, so those two features mean nothing
     weights[[size, 2 * size]] = 0
     model = Model(features, weights, trans, begin, np.zeros(3))
@@ -229,20 +228,33 @@ def spans_of(text: str, marginal: np.ndarray, floor: float = 0.5) -> list[tuple[
     return out
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, *, max_docs: int = 2000) -> tuple[list[str], list[int]]:
-    """Texts and labels of at most ``max_docs`` rows of each class, of the fold crc32(doc_id) mod 3 <> 1.
+def training_table(docs: DataFrame, labels: DataFrame, *, max_docs: int = 2000, max_chars: int = 50_000) -> DataFrame:
+    """(_cl_order, _cl_id, _cl_row, _cl_toxic, _cl_text): texts and labels of at most ``max_docs`` rows of each class, of the fold crc32(doc_id) mod 3 <> 1.
 
-    Rows are chosen by a hash of their id.  The chosen ids, a bounded number, are broadcast.
+    Rows of at most ``max_chars`` are chosen by a hash of their id.  The chosen keys, a bounded
+    number, are broadcast.  Labels other than 0 and 1 and null ids are left out; rows that
+    repeat id, text and label are one.
     """
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1
-    known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & fold).select("doc_id", F.col("toxic").alias("_cl_toxic"))
-    known = known.withColumn("_cl_order", F.xxhash64(F.col("doc_id")))
-    pick = [known.where(F.col("_cl_toxic") == y).orderBy("_cl_order", "doc_id").limit(max_docs) for y in (0, 1)]
-    chosen = pick[0].unionByName(pick[1]).select(F.col("doc_id").alias("_cl_doc"), "_cl_toxic", "_cl_order")
-    rows = docs.select("doc_id", text_of("text").alias("_cl_text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("_cl_doc"))
-    found = rows.select("_cl_order", "_cl_toxic", "_cl_text").limit(2 * max_docs + 1000).toPandas()
-    found = found.sort_values(["_cl_order", "_cl_toxic", "_cl_text"])
-    return found["_cl_text"].tolist(), [int(y) for y in found["_cl_toxic"]]
+    known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & fold).select(F.col("doc_id").alias("_cl_id"), F.col("toxic").alias("_cl_toxic")).distinct()
+    texts = docs.select(F.col("doc_id").alias("_cl_id"), text_of("text").alias("_cl_text"))
+    rows = texts.where(F.length("_cl_text") <= max_chars).withColumn("_cl_row", F.xxhash64("_cl_text"))
+    key = ["_cl_order", "_cl_id", "_cl_row"]
+    light = rows.select("_cl_id", "_cl_row").join(known, "_cl_id").withColumn("_cl_order", F.xxhash64("_cl_id")).distinct()
+    pick = [light.where(F.col("_cl_toxic") == y).orderBy(*key).limit(max_docs) for y in (0, 1)]
+    chosen = F.broadcast(pick[0].unionByName(pick[1]))
+    return rows.join(chosen, ["_cl_id", "_cl_row"]).groupBy(*key, "_cl_toxic").agg(F.first("_cl_text").alias("_cl_text"))
+
+
+def fit_rows(rows: list[dict]) -> Model:
+    """``fit`` of rows of ``training_table``, in whatever order they come."""
+    ordered = sorted(rows, key=lambda r: (r["_cl_order"], r["_cl_id"], r["_cl_toxic"], r["_cl_row"]))
+    return fit([r["_cl_text"] for r in ordered], [int(r["_cl_toxic"]) for r in ordered])
+
+
+def trained(docs: DataFrame, labels: DataFrame, **bounds) -> Model:
+    """The model of the labelled documents of the training fold, fitted in one task."""
+    return fit_on_worker(training_table(docs, labels, **bounds), fit_rows)
 
 
 def score_texts(types: Types, texts: list[str], with_spans: bool = False) -> tuple[np.ndarray, list]:
@@ -271,7 +283,8 @@ def score(docs: DataFrame, model: Model, *, with_spans: bool = False, id_col: st
 
     ``spans`` lists start and end of toxic spans in code points (null unless ``with_spans``).
     Null and empty texts have no tokens; they get the scorer's bias.  Equal texts get scores
-    that agree to nine digits, whatever else is scored with them.
+    that agree to nine digits, whatever else is scored with them.  Repeated rows are scored
+    each; an empty table gives an empty result.  No other columns are carried, so none can clash.
     """
     small_batches(docs)
     rows = docs.select(F.col(id_col).alias("_cl_id"), F.xxhash64(text_of(text_col)).alias("_cl_row"), text_of(text_col).alias("_cl_text"))
@@ -293,9 +306,14 @@ def held_out(doc_id: int | None) -> bool:
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without the rows that score ``threshold`` or more; the same columns."""
+    """``docs`` without the rows that score ``threshold`` or more; the same columns, whatever their names.
+
+    Null and empty texts score as texts without tokens.  Without labels of both classes nothing
+    can be learnt; then only a ``threshold`` under the share of toxic labels rejects.  An empty
+    table gives an empty result.
+    """
     small_batches(docs)
-    model = fit(*training_rows(docs, labels))
+    model = trained(docs, labels)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
