@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS, ascii_lower, spool, text_of
+from .common import WS, ascii_lower, hide_private, spool, text_of
 
 
 #: A hash is heavy from one in so many of all long lines on, so there are at most so many of them.
@@ -39,6 +39,7 @@ def line_dedup(docs: DataFrame, *, min_chars: int = 40, min_docs: int = 5, id_co
     document: they count once, and keep or lose a line together.  An empty table gives an
     empty result.
     """
+    docs, names = hide_private(docs, id_col, text_col)
     ids = docs.select(F.col(id_col).alias("_cl_id"), text_of(text_col).alias("_cl_text")).withColumn("_cl_row", F.xxhash64("_cl_text"))
     lines = ids.select("_cl_id", "_cl_row", F.posexplode(F.split("_cl_text", "\n")).alias("_cl_pos", "_cl_line"))
     long_lines = lines.where(F.length("_cl_line") >= min_chars).withColumn("_cl_key", line_key(F.col("_cl_line"))).where(F.length("_cl_key") >= min_chars)
@@ -67,4 +68,5 @@ def line_dedup(docs: DataFrame, *, min_chars: int = 40, min_docs: int = 5, id_co
     left = F.array_except(F.sequence(F.lit(0), F.size("_cl_lines") - 1), F.col("_cl_drop"))
     text = F.when(F.col("_cl_drop").isNull(), F.col("_cl_text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(F.col("_cl_lines"), i)), "\n"))
     out = [text.alias(text_col) if c == text_col else F.col(c) for c in kept]
-    return split.select(*out, F.size("_cl_lines").cast("long").alias("n_lines"), F.coalesce(F.size("_cl_drop"), F.lit(0)).cast("long").alias("n_dropped"))
+    done = split.select(*out, F.size("_cl_lines").cast("long").alias("n_lines"), F.coalesce(F.size("_cl_drop"), F.lit(0)).cast("long").alias("n_dropped"))
+    return done.withColumnsRenamed(names)

@@ -18,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WS, spool, text_of
+from .common import WS, hide_private, spool, text_of
 
 #: Ranges in each doubling of the key: the root of the number of rows over this, one at least.
 ROOT_SHARE = 4
@@ -103,6 +103,7 @@ def mix(docs: DataFrame, *, seed: str = "mix", id_col: str = "doc_id", text_col:
     Documents without words take no budget and stay out.  Null sources are one source, the
     last in order; a null text has size 0.  An empty table gives an empty result.
     """
+    docs, names = hide_private(docs, id_col, text_col)
     text = text_of(text_col)
     plan = mix_plan(docs, seed=seed, id_col=id_col, text_col=text_col, **options).where((F.col("_cl_copies") > 0) & (F.col("_cl_size") > 0))
     # equal rows have one key and one plan each; their copies are summed and dealt to one of them
@@ -113,4 +114,4 @@ def mix(docs: DataFrame, *, seed: str = "mix", id_col: str = "doc_id", text_col:
     nth = F.row_number().over(Window.partitionBy("_cl_doc_row").orderBy("_cl_doc_row")) - 1
     taken = keyed.join(plan, F.col("_cl_doc_row") == F.col("_cl_row")).withColumn("_cl_nth", nth)
     copies = F.floor(F.col("_cl_n") / F.col("_cl_rows")) + F.when(F.col("_cl_nth") < F.col("_cl_n") % F.col("_cl_rows"), 1).otherwise(0)
-    return taken.select(*docs.columns, F.explode(F.array_repeat(F.lit(1), copies.cast("int"))).alias("_cl_copy")).drop("_cl_copy")
+    return taken.select(*docs.columns, F.explode(F.array_repeat(F.lit(1), copies.cast("int"))).alias("_cl_copy")).drop("_cl_copy").withColumnsRenamed(names)

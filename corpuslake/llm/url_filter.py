@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import ascii_lower, hide_private
 
 #: The filter has blocks of 256 bits, eight 32-bit words, one bit set in each; 16 entries a block at most, up to 64 MB.
 MIN_BLOCKS, MAX_BLOCKS, PER_BLOCK = 1 << 10, 1 << 21, 16
@@ -102,6 +102,7 @@ def judge(pages: DataFrame, rules: DataFrame, *, default: str = "allow", url_col
     replaced.
     """
     spark = pages.sparkSession
+    pages, names = hide_private(pages, url_col)
     listed = rules.select("action", ascii_lower(F.coalesce("host", F.lit(""))).alias("host"), F.coalesce("path", F.lit("")).alias("path")).distinct()
     listed = listed.select("action", F.concat("host", F.lit("\n"), "path").alias("key"), F.concat("host", "path").alias("rule"), F.length("host").alias("host_length"))
     # one row an entry, so a page meets an entry once; allow comes before block
@@ -138,8 +139,8 @@ def judge(pages: DataFrame, rules: DataFrame, *, default: str = "allow", url_col
     best = F.max_by(F.struct("rule", "action"), F.struct(F.length("rule"), "host_length"))
     exact = F.broadcast(listed) if size["bytes"] <= BROADCAST_BYTES else listed
     place = F.concat("host", F.lit("\n"), "path")
-    won = hits.join(exact, "key").groupBy("host", "path").agg(best.alias("won")).select(place.alias("_cl_place"), "won")
+    won = hits.join(exact, "key").groupBy("host", "path").agg(best.alias("_cl_won")).select(place.alias("_cl_place"), "_cl_won")
     # pages without a host can't be listed unless an entry has none either; each looks for something of its own
     own = place if size["bare"] else F.when(F.col("host") != "", place).otherwise(F.concat(F.lit("\n\n"), F.monotonically_increasing_id().cast("string")))
     out = placed.withColumn("_cl_own", own).join(won, F.col("_cl_own") == F.col("_cl_place"), "left")
-    return out.select(*kept, "host", "path", F.col("won.rule").alias("rule"), F.coalesce("won.action", F.lit(default)).alias("verdict"))
+    return out.select(*kept, "host", "path", F.col("_cl_won.rule").alias("rule"), F.coalesce("_cl_won.action", F.lit(default)).alias("verdict")).withColumnsRenamed(names)
