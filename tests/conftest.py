@@ -1,5 +1,7 @@
 import os
+import shutil
 import sys
+import tempfile
 
 import pytest
 
@@ -14,13 +16,16 @@ SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 def spark():
     from pyspark.sql import SparkSession
 
+    # the folder that operators keep their intermediate tables in; gone after the tests
+    folder = tempfile.mkdtemp(prefix="corpuslake-tests-")
     session = (
         SparkSession.builder.master(os.environ.get("TEST_MASTER", "local[*]")).config("spark.sql.shuffle.partitions", "8").config("spark.driver.memory", "6g").config("spark.ui.enabled", "false")
-        .config("spark.sql.session.timeZone", "UTC").getOrCreate()
+        .config("spark.sql.session.timeZone", "UTC").config("spark.checkpoint.dir", f"file://{folder}").getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
+    shutil.rmtree(folder, ignore_errors=True)
 
 
 @pytest.fixture(scope="session")

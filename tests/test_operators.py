@@ -372,12 +372,12 @@ def test_state(spark):
 
 
 def test_map_results_and_lookup(spark):
-    raw = spark.createDataFrame([("http://arxiv.org/abs/2301.12345v2", "A Great Paper\non Something", ["A"], " s  t ", "2023-01-02 03:04:05", None, ["cs"], None, "")], "entry_id string, title string, authors array<string>, summary string, published string, updated string, categories array<string>, pdf_url string, doi string")
+    raw = spark.createDataFrame([("http://arxiv.org/abs/2405.00017v3", "Rivers\n of  Sand", ["A"], " s  t ", "2023-01-02 03:04:05", None, ["cs"], None, "")], "entry_id string, title string, authors array<string>, summary string, published string, updated string, categories array<string>, pdf_url string, doi string")
     papers = tables.map_results(raw.withColumn("published", F.to_timestamp("published")).withColumn("updated", F.to_timestamp("updated")))
     r = papers.first()
-    assert (r.paper_id, r.title, r.abstract, str(r.published), r.updated, r.doi) == ("2301.12345", "A Great Paper on Something", "s t", "2023-01-02", None, None)
-    found = {r.paper_id: (r.paper is not None, r.error) for r in tables.lookup(papers, spark.createDataFrame([("2301.12345",), ("0",)], "paper_id string")).collect()}
-    assert found["2301.12345"] == (True, None) and found["0"][1] == "No paper has the ID 0."
+    assert (r.paper_id, r.title, r.abstract, str(r.published), r.updated, r.doi) == ("2405.00017", "Rivers of Sand", "s t", "2023-01-02", None, None)
+    found = {r.paper_id: (r.paper is not None, r.error) for r in tables.lookup(papers, spark.createDataFrame([("2405.00017",), ("0",)], "paper_id string")).collect()}
+    assert found["2405.00017"] == (True, None) and found["0"][1] == "No paper has the ID 0."
 
 
 def test_files(spark, tmp_path):
