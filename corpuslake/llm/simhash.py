@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, spool, text_of
+from .common import hide_private, remove, small_batches, spool, spool_path, text_of
 from .graph import components
 from .url_filter import build_filter, in_filter
 
@@ -128,19 +128,29 @@ def simhash_components(docs: DataFrame, *, shingle: int = 3, id_col: str = "doc_
 
 
 #: Where prefixes meet in more than PER_NODE pairs a node, shingles of more than CROWD groups go last in the order, at most MAX_LATE.
-PER_NODE, CROWD, MAX_LATE = 20, 32, 100_000
-#: Leaders that a node is compared with before all pairs are, which only saves work.
-LEADERS = 4
-#: 64-bit numbers of a set's sketch.
-SKETCH = 16
+PER_NODE, CROWD, MAX_LATE = 400, 32, 100_000
+#: Leaders that a node is compared with in a round before all pairs are, and such rounds at most, which only save work.
+LEADERS, ROUNDS = 1, 2
+#: Texts that are looked through for usual shingles, and how many of them must have one.
+SAMPLE, SAMPLE_TIMES = 8192, 3
+#: Bytes of a shingle's hash that are compared in the end.
+DIGEST = 6
+
+
+def parity_sketch(own: np.ndarray) -> np.ndarray:
+    """A bit tells whether an odd number of the hashes falls on it; there are a power of two of bits, 1.5 a hash at least.
+
+    Sketches of two sets differ in at most as many bits as there are hashes in one set only.
+    One of twice the bits is brought to the size of the other by joining its halves by XOR.
+    """
+    bits = max(64, 1 << math.ceil(math.log2(max(1, 1.5 * len(own)))))
+    odd = np.bincount(own & (bits - 1), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
 
 def prefixes(docs: DataFrame, late: np.ndarray, *, shingle: int, least: float, id_col: str, text_col: str) -> DataFrame:
     """(_cl_id, _cl_row, node, size, sketch, prefix) for each row; node is a hash of its set of shingles, size their number.
 
-    A bit of the sketch tells whether an odd number of shingles falls on it, so the sketches of
-    two sets differ in at most as many bits as there are shingles in one set only.
-
     Shingles are ordered by hash, those in ``late`` (sorted) after all others.  The prefix is so
     long that two sets with a Jaccard similarity of ``least`` share a shingle of their prefixes.
     """
@@ -151,12 +161,12 @@ def prefixes(docs: DataFrame, late: np.ndarray, *, shingle: int, least: float, i
     def one(text: str) -> tuple[int, int, np.ndarray, np.ndarray]:
         own = np.unique(shingle_hashes(text, shingle).astype(np.uint64).view(np.int64))
         n = len(own)
-        odd = np.bincount(own & (64 * SKETCH - 1), minlength=64 * SKETCH) & 1
+        sketch = parity_sketch(own)
         node = int(np.uint64(xxhash.xxh64_intdigest(own.tobytes(), SEED)).view(np.int64))
         if len(shared.value) and n:
             at = np.minimum(np.searchsorted(shared.value, own), len(shared.value) - 1)
             own = own[np.argsort(shared.value[at] == own, kind="stable")]
-        return node, n, np.packbits(odd.astype(np.uint8)).view(np.int64), own[: n - math.ceil(least * n - 1e-9) + 1]
+        return node, n, sketch, own[: n - math.ceil(least * n - 1e-9) + 1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -169,81 +179,153 @@ def prefixes(docs: DataFrame, late: np.ndarray, *, shingle: int, least: float, i
     return base.mapInArrow(run, f"_cl_id {kind}, _cl_row long, node long, size long, sketch array<long>, prefix array<long>")
 
 
+def usual_shingles(docs: DataFrame, *, shingle: int, text_col: str) -> np.ndarray:
+    """Hashes of shingles that SAMPLE_TIMES of a sample of about SAMPLE distinct texts have, at most MAX_LATE, sorted.
+
+    They only go last in the order of ``prefixes``, which holds for any order: a better one saves
+    comparisons, and what the sample misses is found again from counts over all texts.
+    """
+    texts = docs.select(text_of(text_col).alias("text")).withColumn("row", F.xxhash64("text"))
+    step = max(1, docs.count() // SAMPLE)
+    chosen = texts.where(F.pmod(F.xxhash64("row"), F.lit(step)) == 0).dropDuplicates(["row"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t in batch.column("text").to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(t, shingle).astype(np.uint64).view(np.int64)))], ["token"])
+
+    met = chosen.select("text").mapInArrow(run, "token long").groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= SAMPLE_TIMES)
+    return np.unique(np.array([r["token"] for r in met.orderBy(F.desc("n"), "token").limit(MAX_LATE).collect()], np.int64))
+
+
 def shared_tokens(marked: DataFrame) -> DataFrame:
-    """(token, node, lo, hi): the prefix shingles of the nodes that other nodes have too, with the least and the greatest of these."""
+    """(token, node, pos, n): the prefix shingles that several nodes have, with their places in the order, and how many have each."""
     nodes = marked.groupBy("node").agg(F.first("prefix").alias("prefix"))
-    every = Window.partitionBy("token")
-    met = nodes.select("node", F.explode("prefix").alias("token")).select("token", "node", F.min("node").over(every).alias("lo"), F.max("node").over(every).alias("hi"))
-    return spool(met.where("lo <> hi"), "near-shared")
+    met = nodes.select("node", F.posexplode("prefix").alias("pos", "token"))
+    return spool(met.select("token", "node", "pos", F.count("*").over(Window.partitionBy("token")).alias("n")).where("n > 1"), "near-shared")
 
 
-def may_be_similar(pairs: DataFrame, info: DataFrame, least: float) -> DataFrame:
-    """(a, b) of pairs (a, b, common), less those whose sizes, shared prefixes or sketches rule out a similarity of ``least``.
+def hub_scores(shared: DataFrame) -> DataFrame:
+    """(node, score): how often a node's shingles stand in other nodes.
 
-    Of two prefixes one ends first; beyond its end the sets share at most what its set has left.
-    A pair's ``common`` is the number of shingles that the prefixes share.
+    Of many copies that were each changed elsewhere, what they were made from has the highest
+    score, and may be the only one that all are similar to.
     """
-    of = lambda x: info.select(F.col("node").alias(x), F.col("size").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
-    both = F.col("na") + F.col("nb")
-    need = both * (least / (1 + least)) - 1e-6
-    left = lambda n: F.ceil(F.col(n) * least - 1e-9) - 1
-    apart = sum((F.bit_count(F.col("sa")[i].bitwiseXOR(F.col("sb")[i])) for i in range(SKETCH)), F.lit(0))
-    fits = (F.col("common") + F.greatest(left("na"), left("nb")) >= need) & ((both - apart) / 2 >= need)
-    return pairs.join(of("a"), "a").join(of("b"), "b").where(fits).select("a", "b")
+    return spool(shared.groupBy("node").agg(F.sum(F.col("n") - 1).alias("score")), "near-scores")
 
 
-def leader_pairs(shared: DataFrame) -> DataFrame:
-    """(a, b, common): each node with those LEADERS of its shingles' least and greatest nodes that it shares most with."""
-    ends = shared.select(F.col("node").alias("a"), F.explode(F.array("lo", "hi")).alias("b")).where("a <> b")
-    met = ends.groupBy("a", "b").agg(F.count("*").alias("common"))
+def may_be_similar(pairs: DataFrame, info: DataFrame, least: float) -> DataFrame:
+    """(a, b) of pairs (a, b, na, nb, most), less those whose sizes, shared prefixes or sketches rule out a similarity of ``least``.
+
+    ``na`` and ``nb`` are the sets' sizes, ``most`` is what they have in common at most by their
+    prefixes.  Sketches, which are longer than the rest of a row, only meet where these leave a pair open.
+    """
+    sketches = lambda x: info.select(F.col("node").alias(x), F.col("sketch").alias(f"s{x}"))
+    need = (F.col("na") + F.col("nb")) * (least / (1 + least)) - 1e-6
+    fits = (F.least("na", "nb") >= F.greatest("na", "nb") * least - 1e-6) & (F.col("most") >= need)
+    both = pairs.where(fits).drop("most").join(sketches("a"), "a").join(sketches("b"), "b")
+    # sizes differ by a quarter at most, so one sketch is as long as the other or twice as long
+    m = F.least(F.size("sa"), F.size("sb"))
+    at = lambda s, i: F.coalesce(F.get(F.col(s), i), F.lit(0).cast("long"))
+    bits = F.transform(F.sequence(F.lit(0), m - 1), lambda i: F.bit_count(at("sa", i).bitwiseXOR(at("sb", i)).bitwiseXOR(at("sa", i + m)).bitwiseXOR(at("sb", i + m))))
+    apart = F.aggregate(bits, F.lit(0), lambda x, y: x + y)
+    return both.where((F.col("na") + F.col("nb") - apart) / 2 >= need).select("a", "b")
+
+
+def leader_pairs(placed: DataFrame, least: float) -> DataFrame:
+    """(a, b, na, nb, most): each node with those LEADERS of its shingles' leaders of other groups that it shares most with.
+
+    A shingle's leaders are its node with the highest score, and those of its least and greatest
+    groups.  Of two prefixes one ends first; beyond its end the sets share at most what its set has left.
+    """
+    ends = placed.select(F.col("node").alias("a"), F.col("size").alias("na"), "root", F.explode(F.array_distinct(F.array("hub", "lo", "hi"))).alias("x")).where("root <> x.root")
+    met = ends.groupBy("a", "na", F.col("x.node").alias("b"), F.col("x.size").alias("nb")).agg(F.count("*").alias("common"))
     nth = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("common"), "b"))
-    return met.withColumn("nth", nth).where(F.col("nth") <= LEADERS).drop("nth")
+    left = lambda n: F.ceil(F.col(n) * least - 1e-9) - 1
+    return met.withColumn("nth", nth).where(F.col("nth") <= LEADERS).select("a", "b", "na", "nb", (F.col("common") + F.greatest(left("na"), left("nb"))).alias("most"))
 
 
-def placed_tokens(shared: DataFrame, roots: DataFrame, info: DataFrame) -> DataFrame:
-    """(token, node, size, root) of the shared shingles that stand in more than one group."""
+def placed_tokens(shared: DataFrame, roots: DataFrame | None, sizes: DataFrame) -> DataFrame:
+    """(token, node, pos, size, root, hub, lo, hi) of the shared shingles that stand in more than one group.
+
+    ``sizes`` has node, size and score; without ``roots`` every node is a group.  Leaders are struct(root, node, size).
+    """
     every = Window.partitionBy("token")
-    own = shared.select("token", "node").join(info.select("node", "size"), "node").join(roots, "node", "left")
-    own = own.select("token", "node", "size", F.coalesce("root", "node").alias("root"))
-    return spool(own.withColumn("lo", F.min("root").over(every)).withColumn("hi", F.max("root").over(every)).where("lo <> hi").drop("lo", "hi"), "near-placed")
+    own = shared.select("token", "node", "pos").join(sizes, "node")
+    own = own.withColumn("root", F.col("node")) if roots is None else own.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    ends, best = F.struct("root", "node", "size"), F.struct("score", (-F.col("node")).alias("first"), "root", "node", "size")
+    led = own.withColumn("lo", F.min(ends).over(every)).withColumn("hi", F.max(ends).over(every)).withColumn("best", F.max(best).over(every)).where("lo.root <> hi.root")
+    return spool(led.select("token", "node", "pos", "size", "root", F.struct("best.root", "best.node", "best.size").alias("hub"), "lo", "hi"), "near-placed")
 
 
 def crossing_pairs(placed: DataFrame, least: float) -> DataFrame:
-    """(a, b, common): all pairs of nodes of different groups that share a shingle and are of like size."""
-    left = placed.select("token", F.col("node").alias("a"), F.col("size").alias("na"), F.col("root").alias("ra"))
-    right = placed.select("token", F.col("node").alias("b"), F.col("size").alias("nb"), F.col("root").alias("rb"))
-    like = F.least("na", "nb") >= F.greatest("na", "nb") * least - 1e-6
-    return left.join(right, "token").where((F.col("ra") < F.col("rb")) & like).groupBy("a", "b").agg(F.count("*").alias("common"))
+    """(a, b, na, nb, most): all pairs of nodes of different groups that may be similar by their sizes and the places of shared shingles.
+
+    Sets of known sizes that are similar have ``both`` shingles in common at least, so they share
+    one of the first size - both + 1 of each: fewer than a prefix for any partner has.  What
+    they share up to the last of these is counted; beyond it they share at most what one has left.
+    """
+    left = placed.select("token", F.col("node").alias("a"), F.col("size").alias("na"), F.col("root").alias("ra"), F.col("pos").alias("pa"))
+    right = placed.select("token", F.col("node").alias("b"), F.col("size").alias("nb"), F.col("root").alias("rb"), F.col("pos").alias("pb"))
+    both = F.ceil((F.col("na") + F.col("nb")) * (least / (1 + least)) - 1e-6)
+    early = (F.col("pa") <= F.col("na") - both) & (F.col("pb") <= F.col("nb") - both)
+    met = left.join(right, "token").where((F.col("ra") < F.col("rb")) & early)
+    counted = met.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("common"), F.max("pa").alias("pa"), F.max("pb").alias("pb"))
+    return counted.select("a", "b", "na", "nb", (F.col("common") + F.least(F.col("na") - 1 - F.col("pa"), F.col("nb") - 1 - F.col("pb"))).alias("most"))
 
 
 def similar(pairs: DataFrame, standing: DataFrame, texts: DataFrame, *, shingle: int, least: float) -> DataFrame:
     """The pairs (a, b) whose sets of shingles have a Jaccard similarity of at least ``least``.
 
     ``standing`` has for each node the row, a hash of a text, that stands for it; ``texts`` has
-    (row, text).  Only those texts are shuffled: a Bloom filter of fixed size picks them first,
-    and the join removes what it lets through.
+    (row, text).  A Bloom filter picks the texts that are asked for, their sets are taken where
+    they are, each once a task, and only sets are shuffled: once by row, and one set a pair.
+    The join removes what the filter lets through.
     """
-    bloom = texts.sparkSession.sparkContext.broadcast(build_filter(standing.select(F.col("row").cast("string").alias("key"))))
-
-    @F.pandas_udf("boolean")
-    def maybe(rows):
-        return type(rows)(in_filter(bloom.value, rows.astype(str).tolist()))
+    bloom = texts.sparkSession.sparkContext.broadcast(build_filter(standing.select(F.col("row").cast("string").alias("key")), standing.count()))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[int] = set()
+        for batch in batches:
+            rows = batch.column("row").to_pylist()
+            asked = np.flatnonzero(in_filter(bloom.value, list(map(str, rows)))).tolist()
+            for at in range(0, len(asked), 500):
+                part = [i for i in asked[at : at + 500] if rows[i] not in done and not done.add(rows[i])]
+                found = [digests(shingle_hashes(t, shingle)) for t in batch.column("text").take(pa.array(part, pa.int64())).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array([rows[i] for i in part], pa.int64()), pa.array(found, pa.binary())], ["row", "own"])
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                found = [np.unique(shingle_hashes(t, shingle).astype(np.int64)) for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(found, pa.list_(pa.int64()))], ["node", "own"])
+            ok = [jaccard(x, y) >= least for x, y in zip(batch.column("sa"), batch.column("sb"))]
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    own = texts.mapInArrow(sets, "row long, own binary").groupBy("row").agg(F.first("own").alias("own"))
+    rows = lambda x: standing.select(F.col("node").alias(x), F.col("row").alias(f"r{x}"))
+    placed = pairs.join(rows("a"), "a").join(rows("b"), "b")
+    left = own.select(F.col("row").alias("ra"), F.col("own").alias("sa"))
+    right = own.select(F.col("row").alias("rb"), F.col("own").alias("sb"))
+    met = placed.join(left, "ra").join(right, "rb").select("a", "b", "sa", "sb")
+    return met.mapInArrow(compared, "a long, b long")
+
+
+def digests(hashes: np.ndarray) -> bytes:
+    """The first DIGEST bytes of each distinct hash, in order."""
+    own = np.unique(hashes.astype(np.uint64)).astype(">u8")
+    return own.view(np.uint8).reshape(-1, 8)[:, :DIGEST].tobytes()
+
+
+def jaccard(a: pa.BinaryScalar, b: pa.BinaryScalar) -> float:
+    """The similarity of two sets of ``digests``; of empty ones 1."""
+
+    def numbers(x: pa.BinaryScalar) -> np.ndarray:
+        raw = np.frombuffer(x.as_buffer(), np.uint8).reshape(-1, DIGEST)
+        wide = np.zeros((len(raw), 8), np.uint8)
+        wide[:, 8 - DIGEST :] = raw
+        return wide.view(">u8").ravel().astype(np.uint64)
 
-    picked = texts.where(maybe("row")).join(standing, "row")
-    once = picked.withColumn("nth", F.row_number().over(Window.partitionBy("row").orderBy("node"))).where("nth = 1")
-    own = spool(once.select("node", "text").mapInArrow(sets, "node long, own array<long>"), "shingles")
-    left = own.select(F.col("node").alias("a"), F.col("own").alias("sa"))
-    right = own.select(F.col("node").alias("b"), F.col("own").alias("sb"))
-    common = F.size(F.array_intersect("sa", "sb"))
-    share = common / F.greatest(F.size("sa") + F.size("sb") - common, F.lit(1))
-    return pairs.join(left, "a").join(right, "b").where(share >= least).select("a", "b")
+    x, y = numbers(a), numbers(b)
+    common = len(np.intersect1d(x, y))
+    return common / (len(x) + len(y) - common) if len(x) + len(y) else 1.0
 
 
 def near_dedup(docs: DataFrame, *, shingle: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -255,35 +337,52 @@ def near_dedup(docs: DataFrame, *, shingle: int = 5, least: float = 0.8, id_col:
     and text one stays.  A null id stays only where a group has no other id.  An empty table
     gives an empty result.  The columns of ``docs`` are returned.
     """
+    docs, names = hide_private(docs, id_col, text_col)
     options = {"shingle": shingle, "least": least, "id_col": id_col, "text_col": text_col}
-    marked = spool(prefixes(docs, np.zeros(0, np.int64), **options), "near")
+    spark = docs.sparkSession
+    late = usual_shingles(docs, shingle=shingle, text_col=text_col)
+    path = spool_path(spark, "near")
+    whole = spool(prefixes(docs, late, **options), "near", path=path)
     rows = docs.withColumn("_cl_row", F.xxhash64(text_of(text_col)))
     texts = docs.select(text_of(text_col).alias("text")).withColumn("row", F.xxhash64("text"))
 
-    info = spool(marked.groupBy("node").agg(F.first("size").alias("size"), F.first("sketch").alias("sketch")), "near-nodes")
+    info = spool(whole.groupBy("node").agg(F.first("size").alias("size"), F.first("sketch").alias("sketch")), "near-nodes")
+    marked = spool(whole.select("_cl_id", "_cl_row", "node"), "near-rows")
+    shared = shared_tokens(whole)
+    remove(spark, path)  # all that comes of it has been written
 
     def alike(pairs: DataFrame, known: DataFrame | None = None) -> DataFrame:
         pairs = may_be_similar(pairs, info, least).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         pairs = spool(pairs if known is None else pairs.join(known, ["a", "b"], "left_anti"), "near-open")
         asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        standing = marked.join(asked, "node", "left_semi").groupBy("node").agg(F.min("_cl_row").alias("row"))
+        standing = spool(marked.join(asked, "node", "left_semi").groupBy("node").agg(F.min("_cl_row").alias("row")), "near-standing")
         return spool(similar(pairs, standing, texts, shingle=shingle, least=least), "near-links")
 
-    # large groups of copies are joined through leaders, so that the pairs left to compare are few
-    shared = shared_tokens(marked)
-    links = alike(leader_pairs(shared))
-    roots = components(links)
-    placed = placed_tokens(shared, roots, info)
-    groups = spool(placed.groupBy("token").agg(F.count("*").alias("n"), F.count_distinct("root").alias("groups")), "near-groups")
-    meetings = groups.agg(F.sum(F.col("n").cast("double") * F.col("groups"))).first()[0] or 0
-    if meetings > PER_NODE * info.count():
-        crowded = groups.where(F.col("groups") > CROWD).orderBy(F.desc("groups"), "token").limit(MAX_LATE).collect()
-        if crowded:
-            late = np.unique(np.array([r["token"] for r in crowded], np.int64))
-            shared = shared_tokens(prefixes(docs, late, **options))
-            links = links.unionByName(alike(leader_pairs(shared), links))
-            roots = components(links)
-            placed = placed_tokens(shared, roots, info)
+    def crowded(placed: DataFrame) -> tuple[DataFrame, bool]:
+        """Counts of each shingle, and whether all pairs that share one are too many."""
+        groups = spool(placed.groupBy("token").agg(F.count("*").alias("n"), F.count_distinct("root").alias("groups")), "near-groups")
+        meetings = groups.agg(F.sum(F.col("n").cast("double") * F.col("groups"))).first()[0] or 0
+        return groups, meetings > PER_NODE * info.count()
+
+    def by_leaders(shared: DataFrame, links: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame, bool]:
+        """Groups are joined through leaders, so that the pairs left to compare are few: (links, placed, groups, crowded)."""
+        sizes = spool(info.select("node", "size").join(hub_scores(shared), "node"), "near-sizes")
+        placed = placed_tokens(shared, None if links is None else components(links), sizes)
+        for _ in range(ROUNDS):
+            found = alike(leader_pairs(placed, least), links)
+            links = found if links is None else links.unionByName(found)
+            placed = placed_tokens(shared, components(links), sizes)
+            groups, many = crowded(placed)
+            if not many or not found.count():
+                break
+        return links, placed, groups, many
+
+    links, placed, groups, many = by_leaders(shared, None)
+    if many:
+        found = groups.where(F.col("groups") > CROWD).orderBy(F.desc("groups"), "token").limit(MAX_LATE).collect()
+        if found:
+            late = np.union1d(late, np.array([r["token"] for r in found], np.int64))
+            links, placed, _, _ = by_leaders(shared_tokens(prefixes(docs, late, **options)), links)
     roots = components(links.unionByName(alike(crossing_pairs(placed, least))))
     group = F.coalesce(F.col("root"), F.col("node"))
     members = marked.join(roots, "node", "left").select("_cl_id", "_cl_row", group.alias("group"))
@@ -292,4 +391,4 @@ def near_dedup(docs: DataFrame, *, shingle: int = 5, least: float = 0.8, id_col:
     stays = stays.select(F.col("s._cl_id").alias("_cl_stay_id"), F.col("s._cl_row").alias("_cl_stay_row"))
     kept = rows.join(stays, rows[id_col].eqNullSafe(F.col("_cl_stay_id")) & (F.col("_cl_row") == F.col("_cl_stay_row")))
     repeat = F.row_number().over(Window.partitionBy(id_col, "_cl_row").orderBy("_cl_row"))
-    return kept.withColumn("_cl_repeat", repeat).where("_cl_repeat = 1").select(*docs.columns)
+    return kept.withColumn("_cl_repeat", repeat).where("_cl_repeat = 1").select(*docs.columns).withColumnsRenamed(names)

@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from corpuslake.llm import audio_features as audio
@@ -46,7 +47,7 @@ def test_mel_segments_and_tensors():
     assert abs(a * audio.HOP - 20_000) < 400 and abs(b * audio.HOP - 40_000) < 400
     back = audio.read_tensors(audio.tensors(mel))
     values = np.concatenate([np.asarray(v.as_py() if not hasattr(v, "to_numpy") else v.to_numpy()).reshape(-1, audio.MELS) for v in back["mel"].combine_chunks()])
-    assert np.array_equal(values[: len(mel)], mel)
+    assert np.array_equal(values[: len(mel)], mel.astype(np.float16))
     assert back["start_s"][1].as_py() == 16 * audio.HOP / audio.NEW_RATE
 
 
@@ -73,9 +74,9 @@ def test_op2_stores_tensors_and_spans(spark, tmp_path, monkeypatch):
     stored = {r.doc_id: r for r in written["features"].collect()}
     for i, text in enumerate(texts):
         mel = audio.log_mel(audio.resample((np.frombuffer(audio.payload_of(text), np.uint8).astype(np.float32) - 128) / 128))
-        assert np.array_equal(audio.mel_of(bytes(stored[i].tensors)), mel)
+        assert np.array_equal(audio.mel_of(bytes(stored[i].tensors)), mel.astype(np.float16))
         assert [round(s.start_s * audio.NEW_RATE / audio.HOP) for s in stored[i].segments] == [a for a, _ in audio.segments(mel)]
-        assert got[i].feature == audio.describe(mel, audio.segments(mel))
+        assert got[i].feature == audio.describe(mel.astype(np.float16), audio.segments(mel))
 
 
 # urls
@@ -124,11 +125,13 @@ def test_warc_round_trip(spark, tmp_path):
     assert {r.record_type for r in out if r.payload_bytes < 100} == {"response"}
     assert spark.read.parquet(path + "/payloads").count() == 3
     for r in warc.records_whole(spark, path).collect():
-        head, _, block = r.record.partition("\r\n\r\n")
+        head, _, block = bytes(r.record).decode().partition("\r\n\r\n")
         length = int(re.search(r"Content-Length: (\d+)", head)[1])
         kind = re.search(r"WARC-Type: (\w+)", head)[1]
-        html = {1: long, 2: "short", 3: long, 4: "short"}.get(r.page_id, "")
-        assert block == ("" if kind == "revisit" else html) and length == len(block.encode())
+        html = {"1": long, "2": "short", "3": long, "4": "short"}.get(re.search(r"WARC-Record-ID: <tag:corpuslake,2024:page/(\d)>", head)[1], "")
+        http, _, body = block.partition("\r\n\r\n")
+        assert http.startswith("HTTP/1.1 200 OK\r\n") and f"Content-Length: {len(html.encode())}" in http
+        assert body == ("" if kind == "revisit" else html) and length == len(block.encode())
         assert head.count("WARC-Target-URI") == 1 and "\r\nX: y" not in head
     warc.warc_files(spark, path, str(tmp_path / "files"), compression="none")
     text = b"".join(p.read_bytes() for p in sorted((tmp_path / "files").glob("part-*")))
@@ -140,8 +143,29 @@ def test_warc_round_trip(spark, tmp_path):
 def test_warc_notices_damage(spark, tmp_path):
     path = str(tmp_path / "archive")
     warc.write_archive(spark.createDataFrame([(1, "u", "x" * 200)], "page_id long, url string, html string"), path)
-    spark.createDataFrame([("0" * 64, bytearray(b"other"))], "digest string, payload binary").write.mode("overwrite").parquet(path + "/payloads")
-    assert not warc.read_archive(spark, path).first().verified
+    kept = spark.read.parquet(path + "/payloads").first()
+    for digest, text in ((kept.digest, b"y" * 200), (kept.digest, b"y"), ("0" * 64, b"x" * 200)):
+        spark.createDataFrame([(digest, 200, bytearray(zstandard.compress(text)))], "digest string, size long, packed binary").write.mode("overwrite").parquet(path + "/payloads")
+        assert not warc.read_archive(spark, path).first().verified
+
+
+def test_warc_without_ids(spark, tmp_path):
+    long, other = "x" * 200, "y" * 200
+    df = spark.createDataFrame([(None, "a", long), (7, "a", long), (None, "b", other), (None, "b", other), (None, None, None), (8, "c", None)], "page_id int, url string, html string")
+    out = warc.archive_round_trip(df)
+    assert dict(out.dtypes)["page_id"] == "int"
+    digest = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert sorted(((r.page_id, r.record_type, r.refers_to, r.digest, r.payload_bytes) for r in out.collect()), key=str) == sorted([
+        (None, "revisit", 7, digest(long), 200), (7, "response", None, digest(long), 200), (None, "response", None, digest(other), 200), (None, "response", None, digest(other), 200),
+        (None, "response", None, digest(""), 0), (8, "response", None, digest(""), 0)], key=str)
+    assert all(r.verified for r in out.collect())
+
+
+def test_warc_ids_of_any_kind(spark, tmp_path):
+    ids = ["a b", "ü/%2F+", "<x>", "", "\r\nX: y"]
+    out = warc.archive_round_trip(spark.createDataFrame([(i, "u", "z" * 150) for i in ids], "page_id string, url string, html string")).collect()
+    assert {r.page_id for r in out} == set(ids) and all(r.verified for r in out) and sum(r.record_type == "revisit" for r in out) == 4
+    assert warc.page_of("<urn:uuid:1>") is None
 
 
 # crf
@@ -223,7 +247,7 @@ def test_secret_base_and_more(spark):
 
 def test_secret_crf_finds_what_patterns_miss(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    model = secret_scan.fit(secret_scan.training_texts(docs))
+    model = secret_scan.trained(docs)
     rng = random.Random(1)
     alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
     made = [f"the words around pwd: {''.join(rng.choice(alphabet) for _ in range(24))} go on" for _ in range(50)]
@@ -234,7 +258,7 @@ def test_secret_crf_finds_what_patterns_miss(spark, sf_dir):
 
 
 def test_secret_crf_finds_short_ones(spark, sf_dir):
-    model = secret_scan.fit(secret_scan.training_texts(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    model = secret_scan.trained(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     rng = random.Random(3)
     alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
     secrets = ["".join(rng.choice(alphabet) for _ in range(6 + k % 6)) for k in range(60)]
@@ -272,9 +296,8 @@ def test_toxicity_held_out(spark):
     rows = toxic_rows(1500, 3)
     docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
     labels = spark.createDataFrame([(i, 1, y) for i, _, y in rows] + [(None, 1, 1), (10**9, 1, None)], "doc_id long, quality int, toxic int")
-    texts, own = toxicity.training_rows(docs, labels)
-    assert len(texts) == sum(not toxicity.held_out(i) for i, _, _ in rows)
-    model = toxicity.fit(texts, own)
+    assert toxicity.training_table(docs, labels).count() == sum(not toxicity.held_out(i) for i, _, _ in rows)
+    model = toxicity.trained(docs, labels)
     out = {r._cl_id: r for r in toxicity.score(docs, model, with_spans=True).collect()}
     held = [(y, out[i].score >= 0.7) for i, _, y in rows if toxicity.held_out(i)]
     hit, said, there = sum(y and p for y, p in held), sum(p for _, p in held), sum(y for y, _ in held)
@@ -320,3 +343,65 @@ def test_pipeline_stages(spark, sf_dir):
     out = cp.STAGES[-1][1](spark, docs, sf_dir)
     assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
     assert {r.doc_id for r in out.collect()} == set(texts)
+
+
+PRIVATE = ["_cl_text", "_cl_row", "_cl_id", "_cl_source", "_cl_doc_row", "_cl_own", "_cl_lines", "kept_0", "id", "text_", "media", "won"]
+
+
+def odd_documents(spark):
+    """Nulls in every column, repeated rows, ties, a very long text, and columns named like those that operators use."""
+    long = "a long line of this very long text, which only one document has\n" * 3000
+    rows = [(1, None, None, None, None), (2, "", "en", "a", 0), (None, "some words here", None, "a", 3), (3, long, "de", None, 9), (4, "same text", "fr", "b", 9), (4, "same text", "fr", "b", 9), (5, "same text", None, "c", 9), (None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    return df.select("*", *[F.lit(f"mine {c}").alias(c) for c in PRIVATE])
+
+
+@pytest.mark.skipif(importlib.util.find_spec("corpus_pipeline") is None, reason="the pipeline isn't here")
+def test_pipeline_with_odd_rows(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    docs = odd_documents(spark)
+    labels = spark.createDataFrame([(1, 1, 0), (None, None, None), (4, 0, 1), (9, 1, 1)], "doc_id long, quality int, toxic int")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    now = docs
+    for name, stage in cp.STAGES[:-1]:
+        out = stage(spark, now, str(tmp_path))
+        assert out.columns == docs.columns and out.dtypes == docs.dtypes, name
+        path = str(tmp_path / name.replace(" ", "-"))
+        out.write.parquet(path)
+        now = spark.read.parquet(path)
+        assert all(r[c] == f"mine {c}" for r in now.collect() for c in PRIVATE), name
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
+        ids = sorted((str(r.doc_id) for r in now.select("doc_id").collect()))
+        if name in ("toxicity", "line dedup"):
+            assert ids == ["1", "2", "3", "4", "4", "5", "None", "None"], name
+        if name == "near-dedup":
+            assert ids == ["1", "3", "4", "None"]
+    # what has no words takes no part in a mix
+    assert {r.doc_id for r in now.collect()} <= {3, 4, None}
+    last = cp.STAGES[-1][1]
+    assert last(spark, now, str(tmp_path)).count() == now.count() and last(spark, docs.limit(0), str(tmp_path)).count() == 0
+    assert cp.run(spark, str(tmp_path)).count() == now.count()
+
+
+def test_urls_with_private_columns(spark):
+    pages = spark.createDataFrame([(1, "http://a.com/en/1"), (2, None), (None, "x"), (2, None)], "page_id long, url string").select("*", *[F.lit(f"mine {c}").alias(c) for c in PRIVATE])
+    out = url_filter.judge(pages, url_filter.rules_table(spark, [("block", "com", "/en/")]))
+    assert out.columns == [*pages.columns, "host", "path", "rule", "verdict"]
+    assert sorted((str(r.page_id), r.verdict) for r in out.collect()) == [("1", "block"), ("2", "allow"), ("2", "allow"), ("None", "allow")]
+    assert all(r[c] == f"mine {c}" for r in out.collect() for c in PRIVATE)
+
+
+def test_filter_follows_the_list(spark):
+    assert url_filter.blocks_for(0) == url_filter.MIN_BLOCKS and url_filter.blocks_for(10**9) == url_filter.MAX_BLOCKS
+    assert 16 * 10**6 <= url_filter.blocks_for(10**6) * 256 <= 64 * 10**6
+    # one entry that nearly all pages may be listed by, without a broadcast
+    small, url_filter.BROADCAST_BYTES = url_filter.BROADCAST_BYTES, -1
+    try:
+        pages = spark.range(5000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://h.com/en/"), F.col("id") % 900).alias("url"))
+        out = url_filter.judge(pages, url_filter.rules_table(spark, [("block", "com", "/en/"), ("allow", "h.com", "/en/7")]))
+        assert {(r.verdict, r["count"]) for r in out.groupBy("verdict").count().collect()} == {("allow", sum(str(i % 900).startswith("7") for i in range(5000))), ("block", sum(not str(i % 900).startswith("7") for i in range(5000)))}
+    finally:
+        url_filter.BROADCAST_BYTES = small

@@ -5,14 +5,17 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from corpuslake.llm import bpe, chunk_fingerprint, queries
+from corpuslake.llm import bpe, chunk_fingerprint, mixing, queries
+from corpuslake.llm import line_dedup as line_dedup_module
 from corpuslake.llm.graph import components
 from corpuslake.llm.line_dedup import line_dedup
 from corpuslake.llm.mixing import mix, mix_plan
+from corpuslake.llm import simhash
 from corpuslake.llm.simhash import hamming_links, near_dedup, simhash_components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -103,6 +106,41 @@ def test_mix_odd_rows(spark):
     assert sorted(map(str, out.collect())) == sorted(map(str, mix(df).collect()))
 
 
+def test_mix_ranges_hold_few_rows(spark):
+    """Whatever the weights, no key range holds much more of a source than the root of the table asks for."""
+    import math
+
+    n = 40_000
+    for spread in (1.0, 1e-3, None):
+        weight = F.lit(spread) if spread else F.pow(F.lit(10.0), -3.0 * (F.col("doc_id") % 100) / 100)
+        df = spark.range(n).select(F.col("id").alias("doc_id"), F.lit("w").alias("text"), F.lit("one").alias("source"), weight.alias("q"))
+        drawn = df.select((-F.log((F.conv(F.substring(F.md5(F.concat(F.lit("x"), F.col("doc_id").cast("string"))), 1, 13), 16, 10).cast("double") + 0.5) / 2.0**52) / F.col("q")).alias("key"))
+        parts = int(math.sqrt(n) / mixing.ROOT_SHARE)
+        sizes = [r["count"] for r in drawn.groupBy(F.floor(F.log2("key") * parts)).count().collect()]
+        assert sum(sizes) == n and max(sizes) <= 2 * n * math.log(2) / parts / math.e
+    # sums don't depend on the cut
+    got = {}
+    share = mixing.ROOT_SHARE
+    for mixing.ROOT_SHARE in (share, 10**9, 0.5):
+        got[mixing.ROOT_SHARE] = sorted((r._cl_id, r._cl_copies) for r in mix_plan(df.limit(500).withColumn("text", F.repeat(F.lit("w "), (F.col("doc_id") % 7).cast("int"))), quality=F.col("q")).collect())
+    mixing.ROOT_SHARE = share
+    assert len(set(map(str, got.values()))) == 1
+
+
+def test_line_dedup_with_heavy_lines(spark):
+    """One line in a third of all documents, among others near the threshold; all of them, some or none are broadcast."""
+    rng = random.Random(71)
+    rows = [(i, "\n".join(["the very common line"] * (i % 3 == 0) + [f"a shared line {rng.randrange(60)}", f"own line number {i}", "The Very Common Line "])) for i in range(240)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_lines(rows, 10, 5)
+    heavy = line_dedup_module.HEAVY
+    try:
+        for line_dedup_module.HEAVY in (heavy, 10, 1):
+            assert {r.doc_id: r.text for r in line_dedup(df, min_chars=10, min_docs=5).collect()} == want
+    finally:
+        line_dedup_module.HEAVY = heavy
+
+
 # simhash
 
 
@@ -234,6 +272,51 @@ def test_near_dedup_keeps_texts_that_share_a_repeated_word(spark):
     assert sorted(r.doc_id for r in near_dedup(docs_of(spark, rows)).collect()) == want
 
 
+def test_parity_sketches_bound_differences():
+    rng = np.random.default_rng(73)
+    for n in (0, 1, 5, 42, 43, 300, 5000):
+        a = rng.integers(-(2**63), 2**63, n)
+        b = np.concatenate([a[n // 8 :], rng.integers(-(2**63), 2**63, n // 5 + 1)])
+        x, y = simhash.parity_sketch(a), simhash.parity_sketch(b)
+        assert len(x) * 64 >= 1.5 * n
+        while len(x) > len(y):
+            x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+        while len(y) > len(x):
+            y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+        apart = sum(int(v).bit_count() for v in (x ^ y).view(np.uint64))
+        assert apart <= len(set(a.tolist()) ^ set(b.tolist())) and (n < 300 or apart > 0.5 * len(set(a.tolist()) ^ set(b.tolist())))
+
+
+def test_jaccard_of_digests():
+    rng = random.Random(79)
+    for _ in range(50):
+        a, b = ({rng.randrange(2**64) for _ in range(rng.randint(0, 30))} for _ in range(2))
+        b |= set(list(a)[: len(a) // 2])
+        pack = lambda s: pa.scalar(simhash.digests(np.array(sorted(s) * 2, np.uint64)), pa.binary())
+        assert simhash.jaccard(pack(a), pack(b)) == (len(a & b) / len(a | b) if a | b else 1.0)
+
+
+def test_near_dedup_by_rounds(spark, monkeypatch):
+    """However few comparisons leaders are given, and however many shingles go last, the groups are the same."""
+    rng = random.Random(83)
+    words = [f"word{i}" for i in range(2000)]
+    template = [rng.choice(words) for _ in range(90)]
+    rows = []
+    for k in range(300):
+        text = template + [rng.choice(words) for _ in range(rng.choice([10, 14, 18, 60]))] if k % 3 else [rng.choice(words) for _ in range(100)]
+        rows.append((k, " ".join(text), "s"))
+        if k % 5 == 0:
+            rows.append((1000 + k, " ".join(text[:-1]), "s"))
+    want = brute_near(rows)
+    assert 3 < len(want) < len(rows)
+    for per_node, crowd, rounds, sample in ((200, 32, 2, 8192), (0, 1, 3, 1), (0, 10**9, 1, 8192)):
+        monkeypatch.setattr(simhash, "PER_NODE", per_node)
+        monkeypatch.setattr(simhash, "CROWD", crowd)
+        monkeypatch.setattr(simhash, "ROUNDS", rounds)
+        monkeypatch.setattr(simhash, "SAMPLE", sample)
+        assert sorted(r.doc_id for r in near_dedup(docs_of(spark, rows)).collect()) == want
+
+
 def test_near_dedup_odd_rows(spark):
     df = odd_docs(spark)
     out = near_dedup(df)
