@@ -258,7 +258,7 @@ def encode(docs: DataFrame, path: str, *, leaf_chars: int = LEAF_CHARS, with_dec
                 text = batch.column("_cl_text")[one].as_py()
                 spans = leaves(0, len(text), leaf_chars)
                 take = pa.array([one] * len(spans))
-                yield pa.RecordBatch.from_arrays([batch.column("_cl_id").take(take), batch.column("_cl_row").take(take), pa.array([i for i, _ in spans], pa.int64()), pa.array([text[i:j] for i, j in spans], pa.string())], ["_cl_id", "_cl_row", "start", "text"])
+                yield pa.RecordBatch.from_arrays([batch.column("_cl_row").take(take), pa.array([i for i, _ in spans], pa.int64()), pa.array([text[i:j] for i, j in spans], pa.string())], ["_cl_row", "start", "text"])
 
     def encode_leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(spec)
@@ -269,22 +269,23 @@ def encode(docs: DataFrame, path: str, *, leaf_chars: int = LEAF_CHARS, with_dec
 
     def meet_leaves(table: pa.Table) -> pa.Table:
         table = table.sort_by("start")
-        starts, texts, ids, places = (table.column(x).to_pylist() for x in ("start", "text", "ids", "places"))
-        copies = starts.count(0)  # rows that repeat id and text
-        text = "".join(texts[::copies])
-        parts = [Side(np.frombuffer(i, "<u4"), None if p is None else np.frombuffer(p, "<i8").reshape(-1, 3)) for i, p in zip(ids[::copies], places[::copies])]
+        texts, ids, places = (table.column(x).to_pylist() for x in ("text", "ids", "places"))
+        parts = [Side(np.frombuffer(i, "<u4"), None if p is None else np.frombuffer(p, "<i8").reshape(-1, 3)) for i, p in zip(ids, places)]
         c = coder(spec)
-        out = meet(c, text, parts, leaf_chars).ids.tobytes()
-        columns = [table.column("_cl_id").slice(0, copies), pa.array([len(out) // 4] * copies, pa.int64()), pa.array([out] * copies, pa.binary())]
-        return pa.table([*columns, *([pa.array([c.decode(out)] * copies, pa.string())] if with_decoded else [])], names=names)
-
-    shape = f"_cl_id {kind}, n long, ids binary" + ", decoded string" * with_decoded
-    short = rows.where(F.length("_cl_text") <= leaf_chars).mapInArrow(at_once, shape)
-    long = rows.where(F.length("_cl_text") > leaf_chars).withColumn("_cl_row", F.xxhash64("_cl_text"))
-    pieces = long.mapInArrow(halve, f"_cl_id {kind}, _cl_row long, start long, text string").repartition("_cl_row", "start")
-    coded = pieces.mapInArrow(encode_leaves, f"_cl_id {kind}, _cl_row long, start long, text string, ids binary, places binary")
-    met = coded.groupBy("_cl_id", "_cl_row").applyInArrow(meet_leaves, shape)
-    return short.unionByName(met).select(F.col("_cl_id").alias(id_col), F.col("n").alias("n_tokens"), F.col("ids").alias("token_ids"), *["decoded"] * with_decoded)
+        out = meet(c, "".join(texts), parts, leaf_chars).ids.tobytes()
+        columns = [table.column("_cl_row").slice(0, 1), pa.array([len(out) // 4], pa.int64()), pa.array([out], pa.binary())]
+        return pa.table([*columns, *([pa.array([c.decode(out)], pa.string())] if with_decoded else [])], names=["_cl_row", *names[1:]])
+
+    rest = "n long, ids binary" + ", decoded string" * with_decoded
+    short = rows.where(F.length("_cl_text") <= leaf_chars).mapInArrow(at_once, f"_cl_id {kind}, {rest}")
+    # copies of a long text are coded once; each row gets the result by the text's digest
+    long = rows.where(F.length("_cl_text") > leaf_chars).withColumn("_cl_row", F.md5("_cl_text"))
+    texts = long.groupBy("_cl_row").agg(F.first("_cl_text").alias("_cl_text"))
+    pieces = texts.mapInArrow(halve, "_cl_row string, start long, text string").repartition("_cl_row", "start")
+    coded = pieces.mapInArrow(encode_leaves, "_cl_row string, start long, text string, ids binary, places binary")
+    met = coded.groupBy("_cl_row").applyInArrow(meet_leaves, f"_cl_row string, {rest}")
+    back = long.select("_cl_id", "_cl_row").join(met, "_cl_row").select(*names)
+    return short.unionByName(back).select(F.col("_cl_id").alias(id_col), F.col("n").alias("n_tokens"), F.col("ids").alias("token_ids"), *["decoded"] * with_decoded)
 
 
 def decode(tokens: DataFrame, path: str, *, ids_col: str = "token_ids", out_col: str = "decoded") -> DataFrame:
