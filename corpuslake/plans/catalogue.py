@@ -99,7 +99,7 @@ def vec_topk_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 WITH q AS (SELECT vec_id AS query_id, embedding AS qe FROM embeddings WHERE vec_id % 100 = 0),
 s AS (SELECT q.query_id, e.vec_id AS id, round(list_dot_product(CAST(q.qe AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 6) AS score
-      FROM q CROSS JOIN embeddings e WHERE e.vec_id % 100 <> 0),
+      FROM q CROSS JOIN embeddings e WHERE e.vec_id <> q.query_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s)
 SELECT query_id, CASE WHEN max(score) FILTER (rank = 1) >= 0.35 THEN max(id) FILTER (rank = 1) END AS selected,
        max(score) FILTER (rank = 1) AS score,
@@ -107,9 +107,11 @@ SELECT query_id, CASE WHEN max(score) FILTER (rank = 1) >= 0.35 THEN max(id) FIL
        CASE WHEN max(score) FILTER (rank = 1) < 0.35 THEN array_to_string(list(id ORDER BY rank) FILTER (rank <= 3), ',') END AS candidates
 FROM r WHERE rank <= 5 GROUP BY query_id""")
 def rank_select_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidates ranked by raw products; below the confidence the best three are listed instead."""
+    """All other vectors ranked by raw products; below the confidence the best three are listed instead."""
     emb = read(spark, sf_dir, "embeddings")
-    found = vectors.search(emb.where("vec_id % 100 <> 0"), probes(emb), 5, id_col="vec_id", metric="dot").withColumnRenamed("vec_id", "id")
+    # one more than asked for, since a query may find itself
+    found = vectors.search(emb, probes(emb), Settings().rerank_pool + 1, id_col="vec_id", metric="dot").withColumnRenamed("vec_id", "id").where("id <> query_id")
+    found = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")))
     out = vectors.choose(found, confidence=Settings().confidence, pool=Settings().rerank_pool)
     return out.withColumn("candidates", F.array_join("candidates", ","))
 
