@@ -95,6 +95,9 @@ def hamming_links(marks: DataFrame, fp: str = "fp") -> DataFrame:
 
     Two halves: one of them differs in at most one bit.  A half of even parity enumerates its
     32 flips, one of odd parity only looks itself up, so each match is found once.
+
+    The join is by sort and merge at any size: the planner doesn't see that the balls multiply
+    the rows, and would send tens of times what it means to through the driver.
     """
     low = F.col(fp).bitwiseAND(F.lit(0xFFFFFFFF))
     high = F.shiftrightunsigned(F.col(fp), 32)
@@ -106,7 +109,7 @@ def hamming_links(marks: DataFrame, fp: str = "fp") -> DataFrame:
     ball = F.when(F.bit_count("h") % 2 == 0, flips).otherwise(F.array(own))
     probes = halves.select("v", "h", "at", F.explode(ball).alias("x")).select((F.col("at") + F.col("h").bitwiseXOR(F.col("x"))).alias("k"), F.col("v").alias("a"), (F.col("x") != 0).alias("flip"))
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 3
-    found = probes.join(tables, "k").where(near & (F.col("flip") | (F.col("a") < F.col("b"))))
+    found = probes.hint("merge").join(tables.hint("merge"), "k").where(near & (F.col("flip") | (F.col("a") < F.col("b"))))
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -121,10 +124,11 @@ def simhash_components(docs: DataFrame, *, shingle: int = 3, id_col: str = "doc_
     marked = spool(fingerprints(docs, shingle=shingle, id_col=id_col, text_col=text_col).select("_cl_id", F.col("_cl_fp0").alias("_cl_fp")), "simhash")
     nodes = marked.groupBy("_cl_fp").agg(F.min("_cl_id").alias("least"))
     roots = spool(components(hamming_links(nodes.select(F.col("_cl_fp").alias("fp")))), "roots")
-    rooted = nodes.join(roots, nodes["_cl_fp"] == roots["node"], "left").select("_cl_fp", "least", F.coalesce("root", "_cl_fp").alias("root"))
+    # neither table is broadcast: files of copies look far smaller than their rows
+    rooted = nodes.join(roots.hint("merge"), nodes["_cl_fp"] == roots["node"], "left").select("_cl_fp", "least", F.coalesce("root", "_cl_fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("_cl_component"))
     by_mark = rooted.join(named, "root").select(F.col("_cl_fp").alias("fp"), "_cl_component")
-    return marked.join(by_mark, marked["_cl_fp"] == by_mark["fp"]).select("_cl_id", "_cl_fp", "_cl_component")
+    return marked.hint("merge").join(by_mark, marked["_cl_fp"] == by_mark["fp"]).select("_cl_id", "_cl_fp", "_cl_component")
 
 
 #: Where prefixes meet in more than PER_NODE pairs a node, shingles of more than CROWD groups go last in the order, at most MAX_LATE.

@@ -191,6 +191,12 @@ def test_hamming_links(spark):
     assert {(r.a, r.b) for r in got} == want and len(got) == len(want)
 
 
+def test_hamming_links_broadcast_nothing(spark):
+    """The balls are far larger than the planner takes them for: those of 0.6 GB of documents broke the driver."""
+    links = hamming_links(spark.range(1000).select(F.col("id").alias("fp")))
+    assert "Broadcast" not in links._jdf.queryExecution().executedPlan().toString()
+
+
 def test_components_of_a_chain(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (7, 7)]
     got = {r.node: r.root for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
