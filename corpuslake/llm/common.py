@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import multiprocessing
 import pickle
 import re
@@ -71,6 +72,15 @@ def small_batches(df: DataFrame) -> None:
         conf.set(name, str(BATCH_BYTES))
 
 
+def release() -> None:
+    """Give memory that a worker has freed back to the system: workers live on, and what each keeps adds up in an executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 def fit_on_worker(rows: DataFrame, fit: Callable[[list[dict]], Any]) -> Any:
     """What ``fit`` makes of a bounded number of rows, in one task instead of the driver; it comes back pickled.
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import crf
-from .common import fit_on_worker, small_batches, text_of
+from .common import fit_on_worker, release, small_batches, text_of
 
 WORD = re.compile(r"[^\W_]+")
 PREFIXES = (4, 5, 6)
@@ -321,5 +321,7 @@ def reject_toxic(docs: DataFrame, labels: DataFrame, *, threshold: float = THRES
         for batch in batches:
             scores, _ = score_texts(types, [t or "" for t in batch.column("text").to_pylist()])
             yield batch.filter(pa.array(scores < threshold))
+        del types
+        release()
 
     return docs.mapInArrow(run, docs.schema)
