@@ -9,10 +9,12 @@ pair of distinct fingerprints that differ in at most three bits.  Only distinct
 fingerprints enter, so copies cost nothing, and a fingerprint has a bounded number of
 neighbours (the ball of radius three), however many documents there are.
 
-``near_dedup`` takes no fingerprints, since a similarity of 0.8 on shingles leaves about 15 %
-of their bits different, which no bounded index finds for sure.  It joins prefixes of the
-ordered sets of shingles, which misses no pair.  Nodes first link to leaders of a shingle;
-after that all pairs of different groups that share one are compared.
+``near_dedup`` starts with the same: fingerprints of the distinct shingles, the index, and the
+sets themselves to verify its pairs.  A similarity of 0.8 leaves about 15 % of the bits
+different, which no bounded index finds for sure, so that an exact join follows for the links
+that the index can't give: of prefixes of the ordered sets of shingles, which misses no pair.
+Nodes first link to leaders of a shingle; after that all pairs of different groups that share
+one are compared.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import hide_private, remove, small_batches, spool, spool_path, text_of
+from .common import hide_private, release, remove, small_batches, spool, spool_path, text_of
 from .graph import components
 from .url_filter import build_filter, in_filter
 
@@ -62,7 +64,11 @@ def _mixed(h: np.ndarray, lane: int) -> np.ndarray:
 
 def fingerprint(text: str, shingle: int = 3, lanes: int = 1) -> list[int]:
     """``lanes`` signed 64-bit numbers; a bit is 1 if it is set in over half of the hashes.  No words: zeros."""
-    hashes = shingle_hashes(text, shingle)
+    return marks_of(shingle_hashes(text, shingle), lanes)
+
+
+def marks_of(hashes: np.ndarray, lanes: int = 1) -> list[int]:
+    """The fingerprint of hashes, as ``fingerprint`` has it."""
     out = []
     for lane in range(lanes):
         ones = np.zeros(64, np.int64)
@@ -153,7 +159,7 @@ def parity_sketch(own: np.ndarray) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, late: np.ndarray, *, shingle: int, least: float, id_col: str, text_col: str) -> DataFrame:
-    """(_cl_id, _cl_row, node, size, sketch, prefix) for each row; node is a hash of its set of shingles, size their number.
+    """(_cl_id, _cl_row, node, size, mark, sketch, prefix) for each row; node is a hash of its set of shingles, size their number, mark its fingerprint.
 
     Shingles are ordered by hash, those in ``late`` (sorted) after all others.  The prefix is so
     long that two sets with a Jaccard similarity of ``least`` share a shingle of their prefixes.
@@ -162,25 +168,26 @@ def prefixes(docs: DataFrame, late: np.ndarray, *, shingle: int, least: float, i
     base = docs.select(F.col(id_col).alias("_cl_id"), F.xxhash64(text_of(text_col)).alias("_cl_row"), text_of(text_col).alias("_cl_text"))
     shared = docs.sparkSession.sparkContext.broadcast(late)
 
-    def one(text: str) -> tuple[int, int, np.ndarray, np.ndarray]:
+    def one(text: str) -> tuple[int, int, int, np.ndarray, np.ndarray]:
         own = np.unique(shingle_hashes(text, shingle).astype(np.uint64).view(np.int64))
         n = len(own)
-        sketch = parity_sketch(own)
+        sketch, mark = parity_sketch(own), marks_of(own)[0]
         node = int(np.uint64(xxhash.xxh64_intdigest(own.tobytes(), SEED)).view(np.int64))
         if len(shared.value) and n:
             at = np.minimum(np.searchsorted(shared.value, own), len(shared.value) - 1)
             own = own[np.argsort(shared.value[at] == own, kind="stable")]
-        return node, n, sketch, own[: n - math.ceil(least * n - 1e-9) + 1]
+        return node, n, mark, sketch, own[: n - math.ceil(least * n - 1e-9) + 1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [one(t) for t in batch.column("_cl_text").to_pylist()]
-            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
             columns = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([batch.column("_cl_id"), batch.column("_cl_row"), *columns], ["_cl_id", "_cl_row", "node", "size", "sketch", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column("_cl_id"), batch.column("_cl_row"), *columns], ["_cl_id", "_cl_row", "node", "size", "mark", "sketch", "prefix"])
+        release()
 
     kind = base.schema["_cl_id"].dataType.simpleString()
-    return base.mapInArrow(run, f"_cl_id {kind}, _cl_row long, node long, size long, sketch array<long>, prefix array<long>")
+    return base.mapInArrow(run, f"_cl_id {kind}, _cl_row long, node long, size long, mark long, sketch array<long>, prefix array<long>")
 
 
 def usual_shingles(docs: DataFrame, *, shingle: int, text_col: str) -> np.ndarray:
@@ -218,6 +225,21 @@ def hub_scores(shared: DataFrame) -> DataFrame:
     return spool(shared.groupBy("node").agg(F.sum(F.col("n") - 1).alias("score")), "near-scores")
 
 
+def index_pairs(info: DataFrame) -> DataFrame:
+    """(a, b, na, nb, most): pairs of nodes that multi-index hashing finds, those whose fingerprints differ in three bits at most.
+
+    Nodes of one fingerprint meet its least node; of several fingerprints near to a fingerprint
+    the least does, so that a family of near copies gives as many pairs as it has nodes.  What
+    is left of it the exact join compares.
+    """
+    marks = spool(info.groupBy("mark").agg(F.min(F.struct("node", "size")).alias("first")), "near-marks")
+    met = hamming_links(marks.select(F.col("mark").alias("fp"))).groupBy(F.col("b").alias("mark")).agg(F.min("a").alias("to"))
+    first = lambda name, x: marks.select(F.col("mark").alias(name), F.col("first.node").alias(x), F.col("first.size").alias(f"n{x}"))
+    near = met.join(first("mark", "a"), "mark").join(first("to", "b"), "to").select("a", "b", "na", "nb")
+    equal = info.select("mark", F.col("node").alias("a"), F.col("size").alias("na")).join(first("mark", "b"), "mark").where("a <> b").select("a", "b", "na", "nb")
+    return near.unionByName(equal).withColumn("most", F.least("na", "nb"))
+
+
 def may_be_similar(pairs: DataFrame, info: DataFrame, least: float) -> DataFrame:
     """(a, b) of pairs (a, b, na, nb, most), less those whose sizes, shared prefixes or sketches rule out a similarity of ``least``.
 
@@ -249,14 +271,14 @@ def leader_pairs(placed: DataFrame, least: float) -> DataFrame:
     return met.withColumn("nth", nth).where(F.col("nth") <= LEADERS).select("a", "b", "na", "nb", (F.col("common") + F.greatest(left("na"), left("nb"))).alias("most"))
 
 
-def placed_tokens(shared: DataFrame, roots: DataFrame | None, sizes: DataFrame) -> DataFrame:
+def placed_tokens(shared: DataFrame, roots: DataFrame, sizes: DataFrame) -> DataFrame:
     """(token, node, pos, size, root, hub, lo, hi) of the shared shingles that stand in more than one group.
 
-    ``sizes`` has node, size and score; without ``roots`` every node is a group.  Leaders are struct(root, node, size).
+    ``sizes`` has node, size and score; a node without a root is a group.  Leaders are struct(root, node, size).
     """
     every = Window.partitionBy("token")
     own = shared.select("token", "node", "pos").join(sizes, "node")
-    own = own.withColumn("root", F.col("node")) if roots is None else own.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    own = own.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     ends, best = F.struct("root", "node", "size"), F.struct("score", (-F.col("node")).alias("first"), "root", "node", "size")
     led = own.withColumn("lo", F.min(ends).over(every)).withColumn("hi", F.max(ends).over(every)).withColumn("best", F.max(best).over(every)).where("lo.root <> hi.root")
     return spool(led.select("token", "node", "pos", "size", "root", F.struct("best.root", "best.node", "best.size").alias("hub"), "lo", "hi"), "near-placed")
@@ -297,6 +319,7 @@ def similar(pairs: DataFrame, standing: DataFrame, texts: DataFrame, *, shingle:
                 part = [i for i in asked[at : at + 500] if rows[i] not in done and not done.add(rows[i])]
                 found = [digests(shingle_hashes(t, shingle)) for t in batch.column("text").take(pa.array(part, pa.int64())).to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array([rows[i] for i in part], pa.int64()), pa.array(found, pa.binary())], ["row", "own"])
+        release()
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -337,7 +360,7 @@ def near_dedup(docs: DataFrame, *, shingle: int = 5, least: float = 0.8, id_col:
 
     Near: a Jaccard similarity of ``least`` or more on the sets of shingles; a group is what such
     pairs connect.  Exact: rows of one set are one node, and every other link is compared
-    shingle by shingle.  Null and empty texts are copies of each other.  Of rows that repeat id
+    shingle by shingle, whether multi-index hashing or the join of prefixes behind it found it.  Null and empty texts are copies of each other.  Of rows that repeat id
     and text one stays.  A null id stays only where a group has no other id.  An empty table
     gives an empty result.  The columns of ``docs`` are returned.
     """
@@ -350,7 +373,7 @@ def near_dedup(docs: DataFrame, *, shingle: int = 5, least: float = 0.8, id_col:
     rows = docs.withColumn("_cl_row", F.xxhash64(text_of(text_col)))
     texts = docs.select(text_of(text_col).alias("text")).withColumn("row", F.xxhash64("text"))
 
-    info = spool(whole.groupBy("node").agg(F.first("size").alias("size"), F.first("sketch").alias("sketch")), "near-nodes")
+    info = spool(whole.groupBy("node").agg(F.first("size").alias("size"), F.first("mark").alias("mark"), F.first("sketch").alias("sketch")), "near-nodes")
     marked = spool(whole.select("_cl_id", "_cl_row", "node"), "near-rows")
     shared = shared_tokens(whole)
     remove(spark, path)  # all that comes of it has been written
@@ -368,20 +391,20 @@ def near_dedup(docs: DataFrame, *, shingle: int = 5, least: float = 0.8, id_col:
         meetings = groups.agg(F.sum(F.col("n").cast("double") * F.col("groups"))).first()[0] or 0
         return groups, meetings > PER_NODE * info.count()
 
-    def by_leaders(shared: DataFrame, links: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame, bool]:
+    def by_leaders(shared: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, bool]:
         """Groups are joined through leaders, so that the pairs left to compare are few: (links, placed, groups, crowded)."""
         sizes = spool(info.select("node", "size").join(hub_scores(shared), "node"), "near-sizes")
-        placed = placed_tokens(shared, None if links is None else components(links), sizes)
+        placed = placed_tokens(shared, components(links), sizes)
         for _ in range(ROUNDS):
             found = alike(leader_pairs(placed, least), links)
-            links = found if links is None else links.unionByName(found)
+            links = links.unionByName(found)
             placed = placed_tokens(shared, components(links), sizes)
             groups, many = crowded(placed)
             if not many or not found.count():
                 break
         return links, placed, groups, many
 
-    links, placed, groups, many = by_leaders(shared, None)
+    links, placed, groups, many = by_leaders(shared, alike(index_pairs(info)))
     if many:
         found = groups.where(F.col("groups") > CROWD).orderBy(F.desc("groups"), "token").limit(MAX_LATE).collect()
         if found:

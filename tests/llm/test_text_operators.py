@@ -323,6 +323,25 @@ def test_near_dedup_by_rounds(spark, monkeypatch):
         assert sorted(r.doc_id for r in near_dedup(docs_of(spark, rows)).collect()) == want
 
 
+def test_near_dedup_by_multi_index_hashing(spark, monkeypatch):
+    """The index pairs each node that has another within three bits; near_dedup asks it before the exact join."""
+    rng = random.Random(89)
+    signed = lambda v: v - 2**64 if v >= 2**63 else v
+    marks = [m ^ sum(1 << i for i in rng.sample(range(64), k)) for m in (rng.getrandbits(64) for _ in range(30)) for k in (0, 0, 1, 2, 5)]
+    nodes = [(i, 10 + i % 3, signed(m)) for i, m in enumerate(marks)]
+    got = simhash.index_pairs(spark.createDataFrame(nodes, "node long, size long, mark long")).collect()
+    assert all((marks[r.a] ^ marks[r.b]).bit_count() <= 3 and (r.na, r.nb, r.most) == (10 + r.a % 3, 10 + r.b % 3, 10 + min(r.a % 3, r.b % 3)) for r in got)
+    want = {i for i, m in enumerate(marks) if any(i != j and (m ^ n).bit_count() <= 3 for j, n in enumerate(marks))}
+    assert {x for r in got for x in (r.a, r.b)} == want and len(got) <= 2 * len(nodes)
+    found = []
+    monkeypatch.setattr(simhash, "index_pairs", lambda info, real=simhash.index_pairs: found.append(real(info)) or found[-1])
+    words = [f"word{i}" for i in range(500)]
+    texts = [" ".join(rng.choice(words) for _ in range(400)) for _ in range(12)]
+    rows = [(i, t, "s") for i, t in enumerate(texts)] + [(100 + i, t + " more", "s") for i, t in enumerate(texts)]
+    assert sorted(r.doc_id for r in near_dedup(docs_of(spark, rows)).collect()) == list(range(12)) == brute_near(rows)
+    assert found[0].count() >= 6
+
+
 def test_near_dedup_odd_rows(spark):
     df = odd_docs(spark)
     out = near_dedup(df)
