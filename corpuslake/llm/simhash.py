@@ -137,12 +137,14 @@ def simhash_components(docs: DataFrame, *, shingle: int = 3, id_col: str = "doc_
     return marked.hint("merge").join(by_mark, marked["_cl_fp"] == by_mark["fp"]).select("_cl_id", "_cl_fp", "_cl_component")
 
 
-#: Where prefixes meet in more than PER_NODE pairs a node, shingles of more than CROWD groups go last in the order, at most MAX_LATE.
-PER_NODE, CROWD, MAX_LATE = 400, 32, 100_000
+#: Where prefixes meet in more than PER_NODE pairs a node, shingles of more than CROWD groups go last in the order.
+PER_NODE, CROWD = 400, 32
 #: Leaders that a node is compared with in a round before all pairs are, and such rounds at most, which only save work.
 LEADERS, ROUNDS = 1, 2
-#: Texts that are looked through for usual shingles, and how many of them must have one.
-SAMPLE, SAMPLE_TIMES = 8192, 3
+#: One in SHARE texts is looked through for usual shingles, or more where that leaves fewer than SAMPLE, and so many of them must have one.
+SHARE, SAMPLE, SAMPLE_TIMES = 4, 8192, 3
+#: A usual shingle that STEP times as many texts have goes a level further back, of LEVELS.
+STEP, LEVELS = 8, 8
 #: Bytes of a shingle's hash that are compared in the end.
 DIGEST = 6
 
@@ -158,11 +160,39 @@ def parity_sketch(own: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
 
+def levels(tokens: np.ndarray, late: np.ndarray) -> np.ndarray:
+    """How far back each shingle goes: the number of its keys that the filter ``late`` of ``late_filter`` passes, one after another."""
+    out = np.zeros(len(tokens), np.int8)
+    for at in range(0, len(tokens), BLOCK):
+        left = np.arange(at, min(at + BLOCK, len(tokens)))
+        for lane in range(LEVELS):
+            left = left[in_filter(late, _mixed(tokens[left].view(np.uint64), lane).astype(np.uint64))]
+            if not len(left):
+                break
+            out[left] += 1
+    return out
+
+
+def late_filter(counts: DataFrame) -> np.ndarray:
+    """A filter of the shingles in ``counts`` (token, n), with a key for each level that n reaches.
+
+    What it passes by mistake goes further back too, in all texts alike, and so is still in one order.
+    """
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens, n = batch.column("token").to_numpy().view(np.uint64), batch.column("n").to_numpy()
+            own = [_mixed(tokens[n >= SAMPLE_TIMES * STEP**lane], lane).astype(np.uint64) for lane in range(LEVELS)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own).view(np.int64))], ["key"])
+
+    return build_filter(spool(counts.mapInArrow(keys, "key long"), "near-late"))
+
+
 def prefixes(docs: DataFrame, late: np.ndarray, *, shingle: int, least: float, id_col: str, text_col: str) -> DataFrame:
     """(_cl_id, _cl_row, node, size, mark, sketch, prefix) for each row; node is a hash of its set of shingles, size their number, mark its fingerprint.
 
-    Shingles are ordered by hash, those in ``late`` (sorted) after all others.  The prefix is so
-    long that two sets with a Jaccard similarity of ``least`` share a shingle of their prefixes.
+    Shingles are ordered by their level in ``late``, then by hash.  The prefix is so long that
+    two sets with a Jaccard similarity of ``least`` share a shingle of their prefixes.
     """
     small_batches(docs)
     base = docs.select(F.col(id_col).alias("_cl_id"), F.xxhash64(text_of(text_col)).alias("_cl_row"), text_of(text_col).alias("_cl_text"))
@@ -173,9 +203,7 @@ def prefixes(docs: DataFrame, late: np.ndarray, *, shingle: int, least: float, i
         n = len(own)
         sketch, mark = parity_sketch(own), marks_of(own)[0]
         node = int(np.uint64(xxhash.xxh64_intdigest(own.tobytes(), SEED)).view(np.int64))
-        if len(shared.value) and n:
-            at = np.minimum(np.searchsorted(shared.value, own), len(shared.value) - 1)
-            own = own[np.argsort(shared.value[at] == own, kind="stable")]
+        own = own[np.argsort(levels(own, shared.value), kind="stable")]
         return node, n, mark, sketch, own[: n - math.ceil(least * n - 1e-9) + 1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,23 +218,29 @@ def prefixes(docs: DataFrame, late: np.ndarray, *, shingle: int, least: float, i
     return base.mapInArrow(run, f"_cl_id {kind}, _cl_row long, node long, size long, mark long, sketch array<long>, prefix array<long>")
 
 
-def usual_shingles(docs: DataFrame, *, shingle: int, text_col: str) -> np.ndarray:
-    """Hashes of shingles that SAMPLE_TIMES of a sample of about SAMPLE distinct texts have, at most MAX_LATE, sorted.
+def usual_shingles(docs: DataFrame, *, shingle: int, id_col: str, text_col: str) -> DataFrame:
+    """(token, n): shingles that SAMPLE_TIMES of a sample of texts have, and how many have each; copies in one task count once.
 
     They only go last in the order of ``prefixes``, which holds for any order: a better one saves
-    comparisons, and what the sample misses is found again from counts over all texts.
+    comparisons.  The sample is a share of the texts, not a number of them.  So the texts that a
+    shingle may stand in before it is usual don't become more as the table grows, and neither do
+    those that a text meets by such shingles.
     """
-    texts = docs.select(text_of(text_col).alias("text")).withColumn("row", F.xxhash64("text"))
-    step = max(1, docs.count() // SAMPLE)
-    chosen = texts.where(F.pmod(F.xxhash64("row"), F.lit(step)) == 0).dropDuplicates(["row"])
+    texts = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).withColumn("row", F.xxhash64("text"))
+    step = max(1, min(SHARE, docs.count() // SAMPLE))
+    chosen = texts.where(F.pmod(F.xxhash64("id", "row"), F.lit(step)) == 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[int] = set()
         for batch in batches:
-            for t in batch.column("text").to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(t, shingle).astype(np.uint64).view(np.int64)))], ["token"])
+            rows = batch.column("row").to_pylist()
+            part = [i for i in range(len(rows)) if rows[i] not in done and not done.add(rows[i])]
+            found = [np.unique(shingle_hashes(t, shingle).astype(np.uint64).view(np.int64)) for t in batch.column("text").take(pa.array(part, pa.int64())).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *found]))], ["token"])
+        release()
 
-    met = chosen.select("text").mapInArrow(run, "token long").groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= SAMPLE_TIMES)
-    return np.unique(np.array([r["token"] for r in met.orderBy(F.desc("n"), "token").limit(MAX_LATE).collect()], np.int64))
+    met = chosen.select("text", "row").mapInArrow(run, "token long").groupBy("token").agg(F.count("*").alias("n"))
+    return spool(met.where(F.col("n") >= SAMPLE_TIMES), "near-usual")
 
 
 def shared_tokens(marked: DataFrame) -> DataFrame:
@@ -367,9 +401,10 @@ def near_dedup(docs: DataFrame, *, shingle: int = 5, least: float = 0.8, id_col:
     docs, names = hide_private(docs, id_col, text_col)
     options = {"shingle": shingle, "least": least, "id_col": id_col, "text_col": text_col}
     spark = docs.sparkSession
-    late = usual_shingles(docs, shingle=shingle, text_col=text_col)
+    small_batches(docs)
+    usual = usual_shingles(docs, shingle=shingle, id_col=id_col, text_col=text_col)
     path = spool_path(spark, "near")
-    whole = spool(prefixes(docs, late, **options), "near", path=path)
+    whole = spool(prefixes(docs, late_filter(usual), **options), "near", path=path)
     rows = docs.withColumn("_cl_row", F.xxhash64(text_of(text_col)))
     texts = docs.select(text_of(text_col).alias("text")).withColumn("row", F.xxhash64("text"))
 
@@ -406,9 +441,9 @@ def near_dedup(docs: DataFrame, *, shingle: int = 5, least: float = 0.8, id_col:
 
     links, placed, groups, many = by_leaders(shared, alike(index_pairs(info)))
     if many:
-        found = groups.where(F.col("groups") > CROWD).orderBy(F.desc("groups"), "token").limit(MAX_LATE).collect()
-        if found:
-            late = np.union1d(late, np.array([r["token"] for r in found], np.int64))
+        found = groups.where(F.col("groups") > CROWD).select("token", F.greatest(F.col("groups"), F.lit(SAMPLE_TIMES).cast("long")).alias("n"))
+        if not found.isEmpty():
+            late = late_filter(usual.unionByName(found))
             links, placed, _, _ = by_leaders(shared_tokens(prefixes(docs, late, **options)), links)
     roots = components(links.unionByName(alike(crossing_pairs(placed, least))))
     group = F.coalesce(F.col("root"), F.col("node"))

@@ -49,18 +49,21 @@ def _bits(hashes: np.ndarray, n_blocks: int) -> tuple[np.ndarray, np.ndarray]:
     return blocks, np.uint32(1) << ((low[:, None] * SALTS[None, :]) >> np.uint32(27))
 
 
-def _hashes(keys: list[str]) -> np.ndarray:
+def _hashes(keys: list[str] | np.ndarray) -> np.ndarray:
+    """Numbers are hashes already."""
+    if isinstance(keys, np.ndarray):
+        return keys.view(np.uint64)
     return np.array([xxhash.xxh64_intdigest(k.encode("utf-8", "surrogatepass")) for k in keys], np.uint64)
 
 
-def in_filter(words: np.ndarray, keys: list[str]) -> np.ndarray:
-    """Which of the keys the filter passes."""
+def in_filter(words: np.ndarray, keys: list[str] | np.ndarray) -> np.ndarray:
+    """Which of the keys, texts or 64-bit hashes, the filter passes."""
     blocks, bits = _bits(_hashes(keys), len(words))
     return ((words[blocks] & bits) == bits).all(axis=1)
 
 
 def build_filter(rules: DataFrame, entries: int | None = None) -> np.ndarray:
-    """The filter of ``rules``' keys, a row of eight words a block; ``entries`` is their number, if it is known.
+    """The filter of ``rules``' keys (string, or long: hashes), a row of eight words a block; ``entries`` is their number, if it is known.
 
     Each task builds a filter of its own, and the filters are joined by OR, block by block, in
     a shuffle; the driver gets the joined one, of MAX_BLOCKS rows at most.
@@ -70,7 +73,8 @@ def build_filter(rules: DataFrame, entries: int | None = None) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = np.zeros((size, 8), np.uint32)
         for batch in batches:
-            blocks, bits = _bits(_hashes(batch.column("key").to_pylist()), size)
+            keys = batch.column("key")
+            blocks, bits = _bits(_hashes(keys.to_numpy() if pa.types.is_int64(keys.type) else keys.to_pylist()), size)
             np.bitwise_or.at(words, blocks, bits)
         full = np.flatnonzero(words.any(axis=1))
         for at in range(0, len(full), 1 << 16):

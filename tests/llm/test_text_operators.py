@@ -323,6 +323,38 @@ def test_near_dedup_by_rounds(spark, monkeypatch):
         assert sorted(r.doc_id for r in near_dedup(docs_of(spark, rows)).collect()) == want
 
 
+def test_near_dedup_compares_few_texts_that_share_a_passage(spark, monkeypatch):
+    """Pairs of texts that only share a passage grow with the texts, not with their square, however small the sample may be."""
+    rng = random.Random(97)
+    words = [f"word{i}" for i in range(5000)]
+    draw = lambda n: [rng.choice(words) for _ in range(n)]
+    rows = []
+    for _ in range(6):
+        passage = draw(60)
+        rows += [(len(rows) + k, " ".join(passage + draw(90)), "s") for k in range(80)]
+    rows += [(1000 + k, rows[k][1] + " more", "s") for k in range(0, 480, 16)]
+    want = brute_near(rows)
+    assert want == list(range(480))
+    pairs = []
+    monkeypatch.setattr(simhash, "SAMPLE", 16)
+    monkeypatch.setattr(simhash, "crossing_pairs", lambda *args, real=simhash.crossing_pairs: pairs.append(real(*args)) or pairs[-1])
+    assert sorted(r.doc_id for r in near_dedup(docs_of(spark, rows)).collect()) == want
+    assert pairs[0].count() <= len(rows)
+
+
+def test_levels_of_usual_shingles(spark):
+    rng = np.random.default_rng(101)
+    tokens = rng.integers(-(2**63), 2**63, 3000)
+    times = [simhash.SAMPLE_TIMES * simhash.STEP**k for k in range(3)]
+    counts = [(int(t), times[i // 500] + i % 2) for i, t in enumerate(tokens[:1500])]
+    late = simhash.late_filter(spark.createDataFrame(counts, "token long, n long"))
+    got = simhash.levels(tokens, late)
+    assert (got[:1500] >= np.repeat([1, 2, 3], 500)).all() and (got[:1500] == np.repeat([1, 2, 3], 500)).mean() > 0.9
+    assert (got[1500:] == 0).mean() > 0.9
+    none = simhash.late_filter(spark.createDataFrame([], "token long, n long"))
+    assert not simhash.levels(tokens, none).any() and not len(simhash.levels(tokens[:0], late))
+
+
 def test_near_dedup_by_multi_index_hashing(spark, monkeypatch):
     """The index pairs each node that has another within three bits; near_dedup asks it before the exact join."""
     rng = random.Random(89)
